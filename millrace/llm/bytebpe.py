@@ -21,7 +21,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import blocks, code_point_offsets, code_points, text_bytes
+from millrace.llm.common import blocks, code_points, text_bytes
 
 #: Code-point classes.
 LETTER, NUMBER, OTHER, BLANK, SPACE = range(5)
@@ -166,36 +166,59 @@ def read_ranks(file: str) -> dict[bytes, int]:
 
 
 class SliceCache:
-    """Pre-token -> its ids as little-endian uint32 bytes. `encode_new` encodes a list of unseen pre-tokens.
+    """Pre-token (UTF-8) -> its ids as little-endian uint32 bytes. `encode_new` encodes a list of unseen pre-tokens.
 
     At most `most` pre-tokens are kept; a full cache is emptied, which costs time and changes no result.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], most: int = 400_000):
-        self.ids: dict[str, bytes] = {}
+    def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]], most: int = 800_000):
+        self.ids: dict[bytes, bytes] = {}
         self.encode_new, self.most = encode_new, most
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, np.ndarray]]:
         """For each document of a block: ids as uint32 bytes, and where its pre-tokens end in code points."""
-        points, firsts = code_points(data), code_point_offsets(data, offsets)
-        text = data.tobytes().decode("utf-8", "replace")
+        data, offsets = valid_utf8(data, offsets)
+        heads = np.flatnonzero((data & 0xC0) != 0x80)
+        points, firsts = code_points(data), np.searchsorted(heads, offsets)
         cuts = boundaries(points, firsts[:-1])
-        at = [*cuts.tolist(), len(points)]
-        slices = [text[a:b] for a, b in zip(at, at[1:])]
+        # 0xFF is in no UTF-8 text: put before every pre-token but the first, it lets bytes.split do the slicing.
+        slices = np.insert(data, heads[cuts[1:]], 0xFF).tobytes().split(b"\xff") if len(cuts) else []
         if len(self.ids) > self.most:
             self.ids.clear()
         known = self.ids
-        if new := [*dict.fromkeys(x for x in slices if x not in known)]:
+        got = [*map(known.get, slices)]
+        if None in got:
+            new = [*dict.fromkeys(x for x, y in zip(slices, got) if y is None)]
             known.update(zip(new, self.encode_new(new)))
-        got = [*map(known.__getitem__, slices)]
+            got = [*map(known.__getitem__, slices)]
         to = np.searchsorted(cuts, firsts, "left").tolist()
         ends = np.append(cuts[1:], len(points))
         for d, (a, b) in enumerate(zip(to, to[1:])):
             yield b"".join(got[a:b]), ends[a:b] - firsts[d]
 
 
+def valid_utf8(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same block; where bytes are no UTF-8, each document with U+FFFD in their place."""
+    try:
+        data.tobytes().decode("utf-8")
+        return data, offsets
+    except UnicodeDecodeError:
+        texts = [data[a:b].tobytes().decode("utf-8", "replace").encode("utf-8") for a, b in zip(offsets, offsets[1:])]
+        return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
+#: One cache for a worker process and vocabulary: later tasks of the process find what earlier ones encoded.
+_CACHES: dict[str, object] = {}
+
+
+def of_process(key: str, make: Callable[[], object]) -> object:
+    if key not in _CACHES:
+        _CACHES[key] = make()
+    return _CACHES[key]
+
+
 def rank_cache(ranks: dict[bytes, int]) -> SliceCache:
-    return SliceCache(lambda new: [np.array(merge(x.encode("utf-8"), ranks), "<u4").tobytes() for x in new])
+    return SliceCache(lambda new: [np.array(merge(x, ranks), "<u4").tobytes() for x in new])
 
 
 def local_file(path: str) -> str:
@@ -221,8 +244,8 @@ def encode_documents(docs: DataFrame, ranks_file: str, keep: list[str] | None =
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(local_file(ranks_file))
-        cache, vocabulary = rank_cache(ranks), vocabulary_of(ranks)
+        ranks = of_process(f"ranks {ranks_file}", lambda: read_ranks(local_file(ranks_file)))
+        cache, vocabulary = of_process(f"cache {ranks_file}", lambda: rank_cache(ranks)), vocabulary_of(ranks)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for i, j in blocks(offsets):

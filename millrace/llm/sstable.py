@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.bytebpe import SliceCache, local_file, ship
+from millrace.llm.bytebpe import SliceCache, local_file, of_process, ship
 from millrace.llm.common import blocks, mix64, scratch, tasks_for, text_bytes
 
 MAGIC, RESTART, BLOCK_TARGET = b"MRSST001", 16, 1 << 16
@@ -198,7 +198,7 @@ def library_cache(path: str) -> tuple[object, SliceCache | None]:
     """The tokenizer, and a cache of its pre-tokens where they are those of the byte-level pattern (else None).
 
     Such a tokenizer encodes each pre-token by itself, so a text's ids are its pre-tokens' ids in a row; each distinct
-    pre-token then goes through the library once a task.
+    pre-token then goes through the library once a worker process.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -209,7 +209,7 @@ def library_cache(path: str) -> tuple[object, SliceCache | None]:
         spec = json.load(f)
     before = spec.get("pre_tokenizer") or {}
     plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and spec.get("normalizer") is None and not [t for t in spec.get("added_tokens", []) if not t.get("special")]
-    encode = lambda new: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)]
+    encode = lambda new: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False)]
     return tokenizer, SliceCache(encode) if plain else None
 
 
@@ -236,7 +236,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int
             if not batch.num_rows:
                 continue
             if writer is None:
-                tokenizer, cache = library_cache(local_file(tokenizer_file))
+                tokenizer, cache = of_process(f"library {tokenizer_file}", lambda: library_cache(local_file(tokenizer_file)))
                 writer = Writer(where.open_output_stream(own))
             ids = batch.column("doc_id").to_pylist()
             data, offsets = text_bytes(batch.column("text"))
