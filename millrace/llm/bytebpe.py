@@ -21,7 +21,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import blocks, code_points, text_bytes
+from millrace.llm.common import code_points, text_blocks
 
 #: Code-point classes.
 LETTER, NUMBER, OTHER, BLANK, SPACE = range(5)
@@ -177,7 +177,6 @@ class SliceCache:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, np.ndarray]]:
         """For each document of a block: ids as uint32 bytes, and where its pre-tokens end in code points."""
-        data, offsets = valid_utf8(data, offsets)
         heads = np.flatnonzero((data & 0xC0) != 0x80)
         points, firsts = code_points(data), np.searchsorted(heads, offsets)
         cuts = boundaries(points, firsts[:-1])
@@ -197,16 +196,6 @@ class SliceCache:
             yield b"".join(got[a:b]), ends[a:b] - firsts[d]
 
 
-def valid_utf8(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same block; where bytes are no UTF-8, each document with U+FFFD in their place."""
-    try:
-        data.tobytes().decode("utf-8")
-        return data, offsets
-    except UnicodeDecodeError:
-        texts = [data[a:b].tobytes().decode("utf-8", "replace").encode("utf-8") for a, b in zip(offsets, offsets[1:])]
-        return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-
-
 #: One cache for a worker process and vocabulary: later tasks of the process find what earlier ones encoded.
 _CACHES: dict[str, object] = {}
 
@@ -247,9 +236,8 @@ def encode_documents(docs: DataFrame, ranks_file: str, keep: list[str] | None =
         ranks = of_process(f"ranks {ranks_file}", lambda: read_ranks(local_file(ranks_file)))
         cache, vocabulary = of_process(f"cache {ranks_file}", lambda: rank_cache(ranks)), vocabulary_of(ranks)
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for i, j in blocks(offsets):
-                found = [*cache.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
+            for i, j, data, offsets in text_blocks(batch.column("text")):
+                found = [*cache.encode(data, offsets)]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).slice(i, j - i) for k in keep), pa.array([x for x, _ in found], pa.binary()), pa.array([len(x) // 4 for x, _ in found], pa.int64()), pa.array([e.astype(np.int32) for _, e in found], pa.list_(pa.int32())), pa.array([decode(x, vocabulary) for x, _ in found], pa.binary())],
                     [*keep, "ids", "n_tokens", "slice_ends", "decoded"],

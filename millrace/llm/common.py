@@ -79,6 +79,23 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def valid_utf8(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same block; where bytes are no UTF-8, each document with U+FFFD in their place."""
+    try:
+        data.tobytes().decode("utf-8")
+        return data, offsets
+    except UnicodeDecodeError:
+        texts = [data[a:b].tobytes().decode("utf-8", "replace").encode("utf-8") for a, b in zip(offsets, offsets[1:])]
+        return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
+def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, UTF-8 bytes, offsets from 0) of a text column's blocks of whole documents."""
+    data, offsets = text_bytes(column)
+    for i, j in blocks(offsets, limit):
+        yield i, j, *valid_utf8(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (the splitmix64 steps)."""
     x = x.astype(np.uint64, copy=True)
@@ -124,13 +141,6 @@ def code_points(data: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def code_point_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Offsets in bytes, as offsets in code points."""
-    heads = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
-    return heads[offsets]
-
-
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bytebpe import SliceCache, local_file, of_process, ship
-from millrace.llm.common import blocks, mix64, scratch, tasks_for, text_bytes
+from millrace.llm.common import mix64, scratch, tasks_for, text_blocks
 
 MAGIC, RESTART, BLOCK_TARGET = b"MRSST001", 16, 1 << 16
 FOOTER = struct.Struct("<QQQQQQ8s")
@@ -239,12 +239,11 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int
                 tokenizer, cache = of_process(f"library {tokenizer_file}", lambda: library_cache(local_file(tokenizer_file)))
                 writer = Writer(where.open_output_stream(own))
             ids = batch.column("doc_id").to_pylist()
-            data, offsets = text_bytes(batch.column("text"))
-            for i, j in blocks(offsets):
+            for i, j, data, offsets in text_blocks(batch.column("text")):
                 if cache is not None:
-                    found = [x for x, _ in cache.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
+                    found = [x for x, _ in cache.encode(data, offsets)]
                 else:
-                    texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace") for k in range(i, j)]
+                    texts = [data[a:b].tobytes().decode() for a, b in zip(offsets, offsets[1:])]
                     found = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
                 for doc_id, x in zip(ids[i:j], found):
                     writer.add(key_of(doc_id), np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)))
