@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import code_points, text_blocks
 
@@ -135,7 +136,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = Settin
     """
     weights, bias = docs.sparkSession.sparkContext.broadcast(np.asarray(model[0], np.float64)), float(model[1])
     docs = docs.drop("score", "predicted")
-    schema = docs.schema.add("score", "double").add("predicted", "int")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
