@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bytebpe, sstable, toxicity
+from millrace.llm import bytebpe, sstable, toxicity, weak_quality
 from millrace.llm.common import table
 
 
@@ -23,14 +23,19 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(bytebpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
 
 
+def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return weak_quality.score(docs, weak_quality.train(docs)).drop("text")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op5_byte_bpe, op7_toxicity)}
+    return {f.__name__: f for f in (op1_token_shards, op5_byte_bpe, op6_weak_quality, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -105,10 +105,9 @@ def length_norm(n: int) -> float:
     return 1.0 / max(n, 1) ** 0.5
 
 
-def train(labelled: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """Fit on labelled (doc_id, text, toxic 0/1). At most s.sample_rows rows of each class are used, those with the
-    smallest hash of (doc_id, text), so the sample is the same on every run. The fit runs in one executor task; the driver
-    gets one row with 2**s.bits weights."""
+def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, float]:
+    """Fit on sample() of the labelled rows. The fit runs in one executor task; the driver gets one row with 2**s.bits
+    weights. Without labelled rows every score is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, y = [], []
@@ -119,12 +118,7 @@ def train(labelled: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, fl
         w, bias = fit(rows, np.array(y, float), s)
         yield pa.RecordBatch.from_pydict({"weights": [w.astype(np.float32).tobytes()], "bias": [float(bias)]})
 
-    mark = F.xxhash64("doc_id", "text")
-    picked = None
-    for y in (0, 1):
-        one = labelled.filter(F.col("toxic") == y).select("doc_id", "text", F.lit(y).alias("toxic"), mark.alias("_h")).orderBy("_h", "doc_id").limit(s.sample_rows)
-        picked = one if picked is None else picked.unionByName(one)
-    got = picked.select("text", "toxic").coalesce(1).mapInArrow(run, "weights binary, bias double").collect()
+    got = sample(docs, labels, s).select("text", "toxic").coalesce(1).mapInArrow(run, "weights binary, bias double").collect()
     return (np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"]) if got else (np.zeros(1 << s.bits, np.float32), -30.0)
 
 
@@ -155,7 +149,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of the rows of docs that have a label and aren't held out; of repeated labels the largest."""
+def sample(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, text, toxic of the rows to learn from: labelled, not held out, in docs; of repeated labels the largest.
+
+    At most s.sample_rows identifiers of each class, those of the smallest hash, so the sample is the same on every run.
+    They are picked from the identifiers alone; the list, at most 2 * s.sample_rows longs, is broadcast to the texts.
+    """
     own = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").join(own, "doc_id")
+    own = own.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("_h", F.xxhash64("doc_id"))
+    one, two = (own.filter(F.col("toxic") == y).orderBy("_h", "doc_id").limit(s.sample_rows) for y in (0, 1))
+    return docs.select("doc_id", "text").join(F.broadcast(one.unionByName(two).drop("_h")), "doc_id")
