@@ -22,12 +22,14 @@ from millrace.llm.common import code_points, text_blocks
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_rows bounds the labelled rows a class that are fitted on; min_rows drops features rarer than it."""
+    """sample_rows bounds the labelled rows a class that are fitted on; min_rows drops features rarer than it, min_ratio
+    those with a smaller log-count ratio."""
 
     orders: tuple[int, ...] = (3, 4, 5)
     bits: int = 18
     sample_rows: int = 1500
     min_rows: int = 3
+    min_ratio: float = 0.4
     smoothing: float = 1.0
     epochs: int = 8
     rate: float = 0.5
@@ -77,9 +79,10 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, s: Settings) -> tuple[np.ndar
     for x, y in zip(rows, toxic):
         count[int(y)][x] += 1
     r = np.log((count[1] + s.smoothing) / (n1 + 2 * s.smoothing)) - np.log((count[0] + s.smoothing) / (len(toxic) - n1 + 2 * s.smoothing))
-    r[count[0] + count[1] < s.min_rows] = 0
+    r[(count[0] + count[1] < s.min_rows) | (np.abs(r) < s.min_ratio)] = 0
     kept = [x[r[x] != 0] for x in rows]
     norm = np.array([length_norm(len(x)) for x in rows])
+    worth = np.where(toxic > 0, len(toxic) / (2 * n1), len(toxic) / (2 * (len(toxic) - n1)))  # classes weigh the same
     w, bias, g2, b2 = np.ones(size), 0.0, np.full(size, 1e-8), 1e-8
     order = np.random.default_rng(0)
     for _ in range(s.epochs):
@@ -90,7 +93,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, s: Settings) -> tuple[np.ndar
             value = r[idx] * scale
             owner = np.repeat(np.arange(len(batch)), sizes)
             z = np.bincount(owner, value * w[idx], len(batch)) + bias
-            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[batch]
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic[batch]) * worth[batch]
             touched, place = np.unique(idx, return_inverse=True)
             grad = np.bincount(place, value * error[owner]) / len(batch) + s.l2 * w[touched]
             g2[touched] += grad**2

@@ -35,7 +35,7 @@ class Settings:
 
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
-SHAPES = ["repeat", "unique", "symbol", "upper", "digit", "blank", "stops", "length", "lines", "double"]
+SHAPES = ["repeat", "unique", "symbol", "upper", "digit", "blank", "stops", "length", "lines", "double", "bars"]
 #: Frequent words of a few languages; prose has some of them.
 STOP_WORDS = "the of and to in a is that for it as was with be by on not he i this are or his from at which but have an they you der die und das von zu den mit sich des auf für ist im dem nicht ein eine als le la les et des en un du une que est pour qui dans de el los y por con para del se las su al lo como más".split()
 
@@ -49,6 +49,7 @@ LABELLERS = {
     "has_stop_words": ("stops", ("<", 0.01), (">", 0.08)),
     "word_length": ("length", (">", 12.0), ("<", 9.0)),
     "distinct_lines": ("lines", ("<", 0.6), (">", 0.9)),
+    "few_separators": ("bars", (">", 0.1), ("<", 0.005)),
     "joined_punctuation": ("double", (">", 0.08), ("<", 0.01)),
 }
 
@@ -74,6 +75,7 @@ _UPPER = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _LETTER = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _DIGIT = _table("0123456789")
 _PUNCT = _table("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_BAR = _table("|")
 _BLANK = _table(" \t\r\n")
 
 
@@ -104,7 +106,7 @@ def shapes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     double[1:] = punct[1:] & (data[1:] == data[:-1])
     # A document shorter than the reference size is judged as if it went on like this: type-token ratios fall with length.
     expected = np.minimum(1.0, 3.0 / np.maximum(some, 9) ** 0.5 + 0.25)
-    cols = [per_word(again), np.minimum(distinct / some / expected, 2.0), _sums(_SYMBOL[data], offsets) / chars, _sums(_UPPER[data], offsets) / np.maximum(_sums(_LETTER[data], offsets), 1), _sums(_DIGIT[data], offsets) / chars, _sums(_BLANK[data], offsets) / chars, per_word(stops), per_word(end - begin), _distinct_lines(data, offsets), _sums(double, offsets) / chars]
+    cols = [per_word(again), np.minimum(distinct / some / expected, 2.0), _sums(_SYMBOL[data], offsets) / chars, _sums(_UPPER[data], offsets) / np.maximum(_sums(_LETTER[data], offsets), 1), _sums(_DIGIT[data], offsets) / chars, _sums(_BLANK[data], offsets) / chars, per_word(stops), per_word(end - begin), _distinct_lines(data, offsets), _sums(double, offsets) / chars, _sums(_BAR[data], offsets) / some]
     return np.stack(cols, 1) if n else np.zeros((0, len(SHAPES))), h, first
 
 
@@ -221,7 +223,7 @@ def _hashed(h: np.ndarray, first: np.ndarray, bits: int) -> Iterator[np.ndarray]
 
 
 def train(docs: DataFrame, s: Settings = Settings()) -> Model:
-    """Votes of all documents, EM over their counted patterns on the driver (at most 3 ** 9 rows), then the scorer.
+    """Votes of all documents, EM over their counted patterns on the driver (at most 3 ** 10 rows), then the scorer.
 
     The scorer learns from at most s.sample_rows documents, those of the smallest hash of doc_id; their identifiers are
     broadcast to the texts. It is fitted in one executor task.
