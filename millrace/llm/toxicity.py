@@ -31,7 +31,7 @@ class Settings:
     min_rows: int = 3
     min_ratio: float = 0.4
     smoothing: float = 1.0
-    epochs: int = 8
+    epochs: int = 12
     rate: float = 0.5
     l2: float = 1e-4
     threshold: float = 0.3
@@ -105,7 +105,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, s: Settings) -> tuple[np.ndar
 
 
 def length_norm(n: int) -> float:
-    return 1.0 / max(n, 1) ** 0.5
+    return 1.0 / max(n, 1) ** 0.25
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, float]:
