@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bytebpe, decontaminate, pii, sstable, toxicity, weak_quality
+from millrace.llm import bytebpe, chunk_dedup, decontaminate, multi_index, pii, sstable, toxicity, weak_quality
 from millrace.llm.common import key_rows, table
 
 
@@ -42,8 +42,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op3_pii, op4_decontaminate, op5_byte_bpe, op6_weak_quality, op7_toxicity)}
+    return {f.__name__: f for f in (op1_token_shards, op3_pii, op4_decontaminate, op5_byte_bpe, op6_weak_quality, op7_toxicity, op8_multi_index, op10_chunk_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
