@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bytebpe, chunk_dedup, decontaminate, multi_index, pii, sstable, toxicity, weak_quality
+from millrace.llm import bytebpe, chunk_dedup, decontaminate, multi_index, order_minhash, pii, sstable, toxicity, weak_quality
 from millrace.llm.common import key_rows, table
 
 
@@ -17,6 +17,10 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
@@ -51,7 +55,7 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op3_pii, op4_decontaminate, op5_byte_bpe, op6_weak_quality, op7_toxicity, op8_multi_index, op10_chunk_dedup)}
+    return {f.__name__: f for f in (op1_token_shards, op2_order_minhash, op3_pii, op4_decontaminate, op5_byte_bpe, op6_weak_quality, op7_toxicity, op8_multi_index, op10_chunk_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
