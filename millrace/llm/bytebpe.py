@@ -171,7 +171,7 @@ class SliceCache:
     At most `most` pre-tokens are kept; a full cache is emptied, which costs time and changes no result.
     """
 
-    def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]], most: int = 800_000):
+    def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]], most: int = 250_000):
         self.ids: dict[bytes, bytes] = {}
         self.encode_new, self.most = encode_new, most
 
