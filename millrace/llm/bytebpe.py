@@ -21,7 +21,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import code_points, text_blocks
+from millrace.llm.common import bounded_batches, code_points, text_blocks
 
 #: Code-point classes.
 LETTER, NUMBER, OTHER, BLANK, SPACE = range(5)
@@ -243,7 +243,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, keep: list[str] | None =
                     [*keep, "ids", "n_tokens", "slice_ends", "decoded"],
                 )
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{fields}, ids binary, n_tokens long, slice_ends array<int>, decoded binary")
+    return bounded_batches(docs.select(*dict.fromkeys([*keep, "text"]))).mapInArrow(run, f"{fields}, ids binary, n_tokens long, slice_ends array<int>, decoded binary")
 
 
 def vocabulary_of(ranks: dict[bytes, int]) -> list[bytes]:
@@ -274,4 +274,4 @@ def digests(encoded: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(ids), pa.array(whole)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "n_tokens", "ids", "decoded").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(encoded.select("doc_id", "n_tokens", "ids", "decoded")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import key_rows, random_table, text_blocks, text_bytes
+from millrace.llm.common import bounded_batches, key_rows, random_table, text_blocks, text_bytes
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def chunks(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 ok = stop - begin >= s.low
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[i:j][own][ok], (begin - offsets[own])[ok].astype(np.int32), (stop - begin)[ok].astype(np.int32), digest[ok, 0], digest[ok, 1])], ["_key", "start", "size", "d1", "d2"])
 
-    return docs.select("_key", "text").mapInArrow(run, "_key long, start int, size int, d1 long, d2 long")
+    return bounded_batches(docs.select("_key", "text")).mapInArrow(run, "_key long, start int, size int, d1 long, d2 long")
 
 
 def repeated(pieces: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = docs.select("_key", "doc_id", "text").join(spans, "_key", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return bounded_batches(joined).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

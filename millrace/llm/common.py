@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
+ARROW_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,17 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; batches of its texts to Python hold ARROW_ROWS rows, unless the session sets a number of its own.
+
+    Spark's default of 10,000 rows makes batches of tens of MB, of which each task holds several, in and out of the JVM.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return df
+
+
 def tasks_for(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, key_rows, mix64, random_table, text_blocks, words
+from millrace.llm.common import bounded_batches, cut, key_rows, mix64, random_table, text_blocks, words
 from millrace.llm.decontaminate import small
 
 
@@ -95,7 +95,7 @@ def sketches(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([batch.column("_key").slice(i, j - i), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.diff(first).astype(np.int32)), lists], ["_key", "d1", "d2", "n", "sketches"])
 
-    return docs.select("_key", "text").mapInArrow(run, "_key long, d1 long, d2 long, n int, sketches array<long>")
+    return bounded_batches(docs.select("_key", "text")).mapInArrow(run, "_key long, d1 long, d2 long, n int, sketches array<long>")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -152,7 +152,7 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings = Settings()) -> Dat
                     ok.append(aligned(left, labelled[first[r - i] : first[r - i + 1]], s.similarity))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return bounded_batches(pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")).mapInArrow(run, "a long, b long")
 
 
 def star(rows: DataFrame, s: Settings, *bucket: str) -> DataFrame:

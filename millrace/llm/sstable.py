@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bytebpe import SliceCache, local_file, of_process, ship
-from millrace.llm.common import mix64, scratch, tasks_for, text_blocks
+from millrace.llm.common import bounded_batches, mix64, scratch, tasks_for, text_blocks
 
 MAGIC, RESTART, BLOCK_TARGET = b"MRSST001", 16, 1 << 16
 FOOTER = struct.Struct("<QQQQQQ8s")
@@ -255,7 +255,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [uri], "entries": pa.array([writer.entries], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64())})
 
     dealt = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    written = dealt.mapInArrow(run, "shard int, path string, entries long, tokens long").collect()
+    written = bounded_batches(dealt).mapInArrow(run, "shard int, path string, entries long, tokens long").collect()
     out, base, first = [], 0, 0
     for r in sorted(written, key=lambda r: r["shard"]):
         out.append({**r.asDict(), "start": base, "first": first})
@@ -279,7 +279,7 @@ def read_shards(spark: SparkSession, shards: list[dict]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame([(s["path"], s["start"]) for s in shards], "path string, start long")
-    return listed.repartition(len(shards)).mapInArrow(run, schema)
+    return bounded_batches(listed.repartition(len(shards))).mapInArrow(run, schema)
 
 
 def token_shards(docs: DataFrame, tokenizer_file: str, end_id: int = 2) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import code_points, text_blocks
+from millrace.llm.common import bounded_batches, code_points, text_blocks
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple
         w, bias = fit(rows, np.array(y, float), s)
         yield pa.RecordBatch.from_pydict({"weights": [w.astype(np.float32).tobytes()], "bias": [float(bias)]})
 
-    got = sample(docs, labels, s).select("text", "toxic").coalesce(1).mapInArrow(run, "weights binary, bias double").collect()
+    got = bounded_batches(sample(docs, labels, s).select("text", "toxic").coalesce(1)).mapInArrow(run, "weights binary, bias double").collect()
     return (np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"]) if got else (np.zeros(1 << s.bits, np.float32), -30.0)
 
 
@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings = Settin
             p = 1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= s.threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

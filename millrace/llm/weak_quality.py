@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import text_blocks, words
+from millrace.llm.common import bounded_batches, text_blocks, words
 
 
 @dataclass(frozen=True)
@@ -166,7 +166,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
                 out.append(patterns(votes(shape, np.diff(first))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out))], ["doc_id", "pattern"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, pattern long")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, pattern long")
 
 
 @dataclass
@@ -247,7 +247,7 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
 
     picked = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(s.sample_rows).drop("_h")
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text").coalesce(1)
-    got = texts.mapInArrow(run, "w binary, u binary, bias double").collect()
+    got = bounded_batches(texts).mapInArrow(run, "w binary, u binary, bias double").collect()
     n = len(SHAPES)
     u = np.frombuffer(got[0]["u"]) if got else np.concatenate([np.zeros(2 * n), np.ones(n)])
     w = np.frombuffer(got[0]["w"], np.float32) if got else np.zeros(1 << s.bits, np.float32)
@@ -279,4 +279,4 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
             keep = (p >= s.threshold) & np.array(some, bool)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(post, float)), pa.array(p), pa.array(keep)], [*batch.schema.names, "weak_posterior", "score", "keep"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    return bounded_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
