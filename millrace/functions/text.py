@@ -58,7 +58,8 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined n-grams; none of fewer than n tokens."""
 
     def every(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        # Elements one by one: slice() turns the whole array over for every n-gram.
+        grams = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *(F.get(w, i + k) for k in range(n))))
         return F.when(F.size(w) >= n, grams).otherwise(F.array().cast(EMPTY))
 
     return let(tokens, every)

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from millrace import catalog
@@ -19,7 +20,7 @@ def duck():
 
 
 def rows(frame, columns):
-    plain = lambda v: round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else None if v is None or v != v else str(v)
+    plain = lambda v: None if pd.isna(v) else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else None if pd.isna(v) else str(v)
     return sorted((tuple(plain(v) for v in r) for r in frame[columns].itertuples(index=False)), key=repr)
 
 
