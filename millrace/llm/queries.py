@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bytebpe, chunk_dedup, decontaminate, multi_index, order_minhash, pii, sstable, toxicity, weak_quality
+from millrace.llm import bytebpe, chunk_dedup, decontaminate, multi_index, order_minhash, pii, sstable, suffix_dedup, toxicity, weak_quality
 from millrace.llm.common import key_rows, table
 
 
@@ -50,12 +50,16 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op2_order_minhash, op3_pii, op4_decontaminate, op5_byte_bpe, op6_weak_quality, op7_toxicity, op8_multi_index, op10_chunk_dedup)}
+    return {f.__name__: f for f in (op1_token_shards, op2_order_minhash, op3_pii, op4_decontaminate, op5_byte_bpe, op6_weak_quality, op7_toxicity, op8_multi_index, op9_suffix_dedup, op10_chunk_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
