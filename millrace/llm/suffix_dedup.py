@@ -4,7 +4,7 @@ Every byte that a 100-byte string covers which also starts earlier (smaller docu
 removed. Sorting all suffixes of a corpus in one global order would shuffle two thirds of all positions at each level, many
 times the input; so suffixes are first dealt, without loss, into independent sets:
 
-1. Anchors. Of the 32-byte strings in a 100-byte window the one of least hash (leftmost of equals) is the window's anchor.
+1. Anchors. Of the 24-byte strings in a 100-byte window the one of least hash (leftmost of equals) is the window's anchor.
    Equal windows have equal anchors, so windows can be equal only where an anchor's hash occurs twice. Consecutive windows
    with one anchor form a run, a row; runs whose anchor hash is alone drop out.
 2. Equal runs are collapsed to the first, by partial minima; of the others every window is a repeat.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm.chunk_dedup import remove
 from millrace.llm.common import bounded_batches, gram_hashes, key_rows, mix64, scratch, tasks_for, text_blocks, text_bytes, _BYTE, _INV, _STEP, _powers
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
@@ -39,6 +39,14 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.parquet(at)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a stored() table that is no longer read."""
+    jvm = df.sparkSession._jvm
+    for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(first window start, windows - 1, hash, identity) of each run of a block; starts are in the block.
 
@@ -194,7 +202,10 @@ def repeats(keyed: DataFrame) -> DataFrame:
 
     dealt = held.withColumn("set", F.pmod(F.xxhash64("anchor"), F.lit(tasks_for(spark) * 16)))
     sorted_out = dealt.groupBy("set").applyInArrow(in_set, "_key long, start int, stop int")
-    return copies.unionByName(sorted_out).groupBy("_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    out = stored(copies.unionByName(sorted_out).groupBy("_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans")
+    dropped(near)
+    dropped(first)
+    return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -205,4 +216,4 @@ def dedup(docs: DataFrame) -> DataFrame:
     columns are not read. An empty table gives no rows.
     """
     keyed = key_rows(docs.select("doc_id", "text"))
-    return remove(keyed, stored(repeats(keyed), "suffix-spans"))
+    return remove(keyed, repeats(keyed))
