@@ -139,7 +139,7 @@ def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, rounds: int
     """(posterior of good for each pattern, P(vote | class) as class x labeller x 3, prior of good)."""
     k = len(LABELLERS)
     v = (pattern[:, None] // 3 ** np.arange(k)) % 3
-    weight = count.astype(float)
+    weight = np.where((v == ABSTAIN).all(1), 0.0, count)  # a document without a vote says nothing of the labellers
     good, bad = (v == GOOD).sum(1), (v == BAD).sum(1)
     post = np.clip((good + 1.0) / (good + 3.0 * bad + 2.0), 0.05, 0.95)  # a start: one bad vote says more than one good
     theta, prior = np.zeros((2, k, 3)), 0.5
