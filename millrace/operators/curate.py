@@ -80,8 +80,12 @@ def line_repetition(docs: DataFrame, unit: str = "line") -> DataFrame:
 
 def ngram_repetition(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, top_chars and dup_chars: the share of a document's characters in its most frequent n-gram, and in n-grams
-    that occur again. Counted by explode and groupBy, partial sums first, so a long document is no task of its own."""
-    grams = docs.select("doc_id", t.words(F.lower("text")).alias("w")).select("doc_id", F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"), F.explode(t.ngrams(F.col("w"), n)).alias("g"))
+    that occur again. n-grams are leads in a window of one document; they are counted with partial sums first."""
+    own, order = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("pos")
+    tokens = docs.select("doc_id", F.posexplode(t.words(F.lower("text"))).alias("pos", "x"))
+    after = [F.lead("x", k).over(order).alias(f"x{k}") for k in range(1, n)]
+    grams = tokens.select("doc_id", F.sum(F.length("x")).over(own).alias("chars"), "x", *after).filter(F.col(f"x{n - 1}").isNotNull())
+    grams = grams.select("doc_id", "chars", F.concat_ws(" ", "x", *(f"x{k}" for k in range(1, n))).alias("g"))
     size = F.length(F.replace("g", F.lit(" "), F.lit("")))
     counted = grams.groupBy("doc_id", "chars", "g").agg(F.count(F.lit(1)).alias("c")).withColumn("size", size)
     per = counted.groupBy("doc_id", "chars").agg(F.max(F.col("c") * F.col("size")).alias("top"), F.sum((F.col("c") - 1) * F.col("size")).alias("dup"))
