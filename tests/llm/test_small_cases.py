@@ -320,3 +320,16 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns and 0 < out.count() <= n
     got = corpus_pipeline.run(spark, d)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < got.count() < n
+
+
+def test_joined_pre_tokens_get_the_library_ids():
+    import numpy as np
+    import pyarrow as pa
+
+    from millrace.llm.common import text_blocks
+    from millrace.llm.sstable import library_cache
+
+    texts = ["a  b\u3000c 's 't don't ''s  \n\n x ", "\xa0\xa0z \u200b q \x1c a \x85c", "<|endoftext|> a<s>b", "", None, "x" * 3000 + " \u0301 \u00bd\u00b2 3x", " the the of" * 500]
+    tokenizer, cache = library_cache(public_tokenizers.path("byte_bpe_50k.json"))
+    got = [x for _, _, data, offsets in text_blocks(pa.array(texts)) for x, _ in cache.encode(data, offsets)]
+    assert got == [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
