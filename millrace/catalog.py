@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import corpus
+from millrace.plans import corpus, formats  # noqa: F401  (formats adds its queries to corpus's)
 
 QUERIES = dict(corpus.QUERIES)
 ORACLES = dict(corpus.ORACLES)

@@ -111,10 +111,11 @@ def spam_flag(docs: DataFrame, terms: Mapping[str, Sequence[str]] = SPAM_TERMS,
     return docs.withColumn("spam_reason", F.concat_ws(",", *(F.when(F.regexp_count(low, F.lit(term_pattern(v))) >= threshold, F.lit(f"{k}_lexicon")) for k, v in terms.items())))
 
 
-def language_tag(docs: DataFrame, margin: float = 0.1, max_chars: int = 4000, stop_words: Mapping[str, Sequence[str]] = STOP_WORDS) -> DataFrame:
-    """docs plus language: the one whose frequent words are most of the text's start; null if none is, or if the lead over
+def language_tag(docs: DataFrame, margin: float = 0.1, max_chars: int | None = None, stop_words: Mapping[str, Sequence[str]] = STOP_WORDS) -> DataFrame:
+    """docs plus language: the one whose frequent words are most of the text (of its first max_chars,
+    if given); null if none is, or if the lead over
     the next is under `margin` of the hits. Built-in functions only."""
-    w = t.words(F.lower(F.substring("text", 1, max_chars)))
+    w = t.words(F.lower(F.substring("text", 1, max_chars) if max_chars else F.col("text")))
     names = sorted(stop_words)
     counts = [_hits(stop_words[name]).alias(name) for name in names]
     scored = docs.withColumn("_w", w).select(*docs.columns, F.struct(*counts).alias("_c"))
@@ -158,3 +159,17 @@ def sentence_dedup(docs: DataFrame, n: int = 3, min_words: int = 0, min_sentence
 def t_spans(col: str, n: int) -> Column:
     grams = t.ngrams(F.col(col), n)
     return F.transform(grams, lambda g: F.sha2(g, 256))
+
+
+def leakage(docs: DataFrame, lang: str = "lang", dataset: str = "source", margin: float = 0.1) -> DataFrame:
+    """dataset, kind, n, chars, foreign_chars: documents by whether their lines are in the language that they are listed in.
+
+    pure: no line is surely in another language; whole_foreign: some are, and none is in its own; embedded: both. Lines are
+    tagged as by language_tag() (null: neither) and summed by document with partial sums. Documents without lines don't count.
+    """
+    lines = docs.select("doc_id", lang, dataset, F.explode(t.lines(F.col("text"))).alias("text"))
+    tagged = language_tag(lines, margin)
+    foreign, size = F.col("language") != F.col(lang), F.length("text").cast("long")
+    per = tagged.groupBy("doc_id", dataset).agg(F.sum(size).alias("chars"), F.coalesce(F.sum(F.when(foreign, size)), F.lit(0)).alias("foreign_chars"), F.count_if(F.col("language") == F.col(lang)).alias("own"))
+    kind = F.when(F.col("foreign_chars") == 0, "pure").when(F.col("own") == 0, "whole_foreign").otherwise("embedded")
+    return per.groupBy(dataset, kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("foreign_chars").alias("foreign_chars"))

@@ -156,7 +156,7 @@ def reason_counts(spark, d):
 
 
 _LANGS = sorted(curate.STOP_WORDS)
-_LANGUAGE = rf"""WITH w AS (SELECT doc_id, lang, regexp_extract_all(lower(substring(text, 1, 4000)), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
+_LANGUAGE = rf"""WITH w AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
 c AS (SELECT doc_id, lang, unnest([{_list(_LANGS)}]) AS name, unnest([{", ".join(f"len(list_filter(w, lambda x: x IN ({_list(curate.STOP_WORDS[k])})))" for k in _LANGS)}]) AS n FROM w),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, name) AS rn, lead(n) OVER (PARTITION BY doc_id ORDER BY n DESC, name) AS second, sum(n) OVER (PARTITION BY doc_id) AS total FROM c),
 t AS (SELECT doc_id, lang, CASE WHEN n > 0 AND (n - second) / total >= 0.1 THEN name END AS language FROM r WHERE rn = 1)"""
