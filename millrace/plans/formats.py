@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as t
-from millrace.operators import curate, morphology, significance, tasks
+from millrace.operators import curate, morphology, significance, tasks, tokenizers
 from millrace.plans import corpus
 from millrace.plans.corpus import _BUCKET, FEATURES, query, read
 from millrace.plans.stages import Stage, with_settings
@@ -151,14 +151,15 @@ def leakage_report(spark, d):
     return curate.leakage(read(spark, d, "documents"))
 
 
-_WORDS = r"""f AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS form FROM part),
+_WORDS = r"""f AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS form FROM documents),
 m AS (SELECT form, CASE WHEN length(form) > 3 THEN [substring(form, 1, 3), substring(form, 4)] ELSE [form] END AS morphemes,
   CASE WHEN length(form) < 3 THEN [form] WHEN length(form) % 2 = 0 AND length(form) > 3 THEN [substring(form, 1, 3), substring(form, 4)] ELSE [substring(form, 1, 2), substring(form, 3)] END AS pieces FROM f),
 s AS (SELECT form, (len(morphemes) = 2 AND length(pieces[1]) = 3)::INT AS tp, len(pieces) - 1 AS predicted, len(morphemes) - 1 AS gold FROM m)"""
 
 
 def _segmented(spark, d):
-    form = read(spark, d, "part").select(F.explode(t.find_all(F.lower("p_name"), "[a-z]+")).alias("form")).distinct()
+    """The distinct lower-case words of documents, cut after the third letter, and by a rule that is at times another."""
+    form = read(spark, d, "documents").select(F.explode(t.find_all(F.col("text"), "[a-z]+")).alias("form")).distinct()
     n, cut = F.length("form"), lambda k: F.array(F.substring("form", 1, k), F.expr(f"substring(form, {k + 1})"))
     pieces = F.when(n < 3, F.array("form")).when((n % 2 == 0) & (n > 3), cut(3)).otherwise(cut(2))
     return form.select("form", F.when(n > 3, cut(3)).otherwise(F.array("form")).alias("morphemes"), pieces.alias("pieces"))
@@ -215,3 +216,29 @@ def bootstrap_distribution(spark, d):
     """200 resamples of characters a word for each source."""
     units = read(spark, d, "documents").select(F.col("source").alias("run"), F.col("doc_id").alias("unit"), F.length("text").alias("c"), F.size(t.spaced(F.col("text"))).alias("w"))
     return significance.bootstrap_ratios(units, "c", "w", 200).groupBy("run").agg(F.count("value").alias("n"))
+
+
+#: A short list of merges, so that SQL can say the result: letters are merged in this order.
+MERGES = [("t", "h"), ("th", "e")]
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS w FROM documents),
+n AS (SELECT doc_id, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS chars, list_sum(list_transform(w, lambda x: len(regexp_extract_all(x, 'th'))))::BIGINT AS th,
+  list_sum(list_transform(w, lambda x: len(regexp_extract_all(x, 'the'))))::BIGINT AS the FROM w)
+SELECT doc_id, coalesce(chars - th - the, 0) AS n_pieces, coalesce(the, 0) AS n_the FROM n""")
+def encode_bpe(spark, d):
+    own = tokenizers.encode_words(read(spark, d, "documents").select("doc_id", "text"), MERGES)
+    return own.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.size(F.filter("pieces", lambda p: p == "the")).cast("long").alias("n_the"))
+
+
+@query("SELECT doc_id, length(text) / 1000.0::DOUBLE AS score FROM documents WHERE length(text) < 1000")
+def spam_model(spark, d):
+    rows = tokenizers.score_texts(read(spark, d, "documents"), lambda s: len(s) / 1000)
+    return rows.filter("score < 1").select("doc_id", "score")
+
+
+@query("SELECT event_id, event_type, user_id::VARCHAR AS user_id FROM events")
+def project_metadata(spark, d):
+    m = F.create_map(F.lit("type"), "event_type", F.lit("user"), F.col("user_id").cast("string"), F.lit("none"), F.lit(None).cast("string"))
+    kept = tokenizers.project_metadata(m, leave=["other"])
+    return read(spark, d, "events").select("event_id", kept.alias("m")).select("event_id", F.col("m")["type"].alias("event_type"), F.col("m")["user"].alias("user_id"))
