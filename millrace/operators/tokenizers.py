@@ -29,13 +29,16 @@ def apply_merges(word: str, ranks: Mapping[tuple[str, str], int]) -> list[str]:
 
 def encode_words(docs: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
     """docs plus pieces: those of the text's words and other characters, in order; [] of null. `merges` is a vocabulary's
-    list (lowest rank first), sent to the tasks with the function. Each distinct word of a batch is merged once."""
+    list (lowest rank first), sent to the tasks with the function. A task merges a word once,
+    as long as it knows no more than 250,000."""
     ranks = {tuple(m): i for i, m in reversed([*enumerate(merges)])}
 
     @F.pandas_udf("array<string>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, list[str]] = {}
         for words in batches:
-            known: dict[str, list[str]] = {}
+            if len(known) > 250_000:
+                known.clear()
             for row in words:
                 for w in row:
                     if w not in known:
