@@ -5,11 +5,13 @@ count. A sketch takes the `picks` k-mers of smallest hash under its own random o
 they stand in the text: equal sketches mean shared k-mers in one order, which follows edit similarity, not set overlap.
 Copies of a text are collapsed to one representative first. Representatives with an equal sketch form a bucket; each is
 paired with the bucket's smallest, and those that turn out unlike it are tried again in finer buckets (of two equal
-sketches). A pair is verified by aligning the two k-mer sequences within the band that the threshold allows: similarity is
-matched / (all - matched), matches being in order. Classes are the connected components of verified pairs.
+sketches). Members of buckets that are still not connected are compared with all among them that share a rare k-mer, as
+every similar pair does. A pair is verified by aligning the two k-mer sequences within the band that the threshold allows:
+similarity is matched / (all - matched), matches being in order. Classes are the connected components of verified pairs.
 
-Groups stay small: bucket minima come from partial sums, every row meets one partner a bucket, joins can split a hot key,
-texts travel only for documents that are in a pair, and components are found by star contraction on the pairs alone.
+Groups stay small: bucket minima come from partial sums, every row meets one partner a bucket until the last step, which
+pairs different components by rare k-mers alone, joins can split a hot key, texts travel only for documents that are in a
+pair or in that step, and components are found by star contraction on the pairs alone.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm.common import bounded_batches, cut, key_rows, mix64, random_table, text_blocks, words
 from millrace.llm.decontaminate import small
@@ -164,17 +167,56 @@ def star(rows: DataFrame, s: Settings, *bucket: str) -> DataFrame:
 
 
 def links(signed: DataFrame, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Verified pairs (a, b), a < b, of representatives; signed: _key, n, sketches."""
+    """Verified pairs (a, b), a < b, of representatives, such that like members of a bucket are connected; signed: _key, n,
+    sketches."""
     rows = signed.filter("n > 0").select("_key", "n", F.posexplode("sketches").alias("band", "value"))
     met = cut(star(rows, s, "band", "value"))
-    good = cut(verified(met.filter("near").select("a", F.col("_key").alias("b")).distinct(), docs, s))
+    tried = met.filter("near").select("a", F.col("_key").alias("b")).distinct()
+    good = cut(verified(tried, docs, s))
     # Those unlike their bucket's smallest may be like one another: they meet again where two sketches are equal.
     unlike = met.join(good.withColumnRenamed("b", "_key"), ["a", "_key"], "left_anti").select("_key").distinct()
     two = [F.xxhash64(F.lit(i), F.lit(j), F.col("sketches")[i], F.col("sketches")[j]) for i, j in combinations(range(s.sketches), 2)]
     finer = signed.join(unlike, "_key", "left_semi").select("_key", "n", F.explode(F.array(*two)).alias("value"))
-    again = star(finer, s, "value").filter("near").select("a", F.col("_key").alias("b")).distinct().join(good, ["a", "b"], "left_anti")
-    again = cut(again)
-    return good if again.isEmpty() else good.unionByName(cut(verified(again, docs, s)))
+    again = cut(star(finer, s, "value").filter("near").select("a", F.col("_key").alias("b")).distinct().join(good, ["a", "b"], "left_anti"))
+    if not again.isEmpty():
+        good, tried = good.unionByName(cut(verified(again, docs, s))), tried.unionByName(again)
+    # Buckets that aren't one component by now: their members are compared with all others that can be like them.
+    rooted = rows.join(components(good).withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
+    open_ = rooted.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "value")
+    left = cut(rooted.join(open_, ["band", "value"], "left_semi").select("_key", "n", "root").distinct())
+    if left.isEmpty():
+        return good
+    rest = cut(overlapping(left, docs, s).join(tried, ["a", "b"], "left_anti"))
+    return good if rest.isEmpty() else good.unionByName(cut(verified(rest, docs, s)))
+
+
+def overlapping(left: DataFrame, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Pairs (a, b), a < b, of left (_key, n, root) of different roots, among them all whose similarity reaches s's.
+
+    Similar documents share `similarity` of the k-mers of either, so with all k-mers in one order, rarest first, they share
+    one within the first n - ceil(similarity * n) + 1 of each (prefix filter). What a family has in common is not rare and
+    makes no pairs, unless it is more than `similarity` of a document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in text_blocks(batch.column("text")):
+                labelled, first = kmers(data, offsets, s.words)
+                yield pa.RecordBatch.from_arrays([batch.column("_key").slice(i, j - i), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(labelled.view(np.int64)))], ["_key", "v"])
+
+    texts = docs.select("_key", "text").join(small(left.select("_key")), "_key", "left_semi")
+    all_ = cut(bounded_batches(texts).mapInArrow(run, "_key long, v array<long>")).select("_key", F.explode("v").alias("v"))
+    common = all_.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy("_key").orderBy("c", "v")
+    head = F.col("n") - F.ceil(s.similarity * F.col("n") - 1e-9) + 1
+    ranked = all_.join(common, "v").withColumn("rn", F.row_number().over(order)).filter("c > 1").join(left, "_key").filter(F.col("rn") <= head)
+    ranked = cut(ranked.select("_key", "n", "root", "v"))
+    mixed = ranked.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("v")
+    one = ranked.join(mixed, "v", "left_semi")
+    two = one.select("v", F.col("_key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    near = F.least("n", "m") >= s.similarity * F.greatest("n", "m") - 1e-9
+    met = one.withColumnRenamed("_key", "a").join(two, "v").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & near)
+    return met.select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -139,6 +139,28 @@ def test_alignment_equals_the_table():
         assert order_minhash.aligned(a.astype(np.uint64), b.astype(np.uint64), 0.8) == (len(b) > 0 and n / (len(a) + len(b) - n) >= 0.8 - 1e-9)
 
 
+def test_pairs_in_a_template_family_equal_brute_force(spark):
+    r = random.Random(11)
+    own = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    shared = own(284)
+    texts = [shared + own(60) for _ in range(450)]  # 0.7 like one another
+    texts += [shared + t[284:319] + own(25) for t in texts[300:]]  # 0.85 like the one, 0.7 like the rest
+    head, rest = texts[:300], texts[300:]
+    r.shuffle(rest)
+    rows = [(i, " ".join(t)) for i, t in enumerate(head + rest)]
+    offsets = np.cumsum([0, *(len(t) for _, t in rows)])
+    labelled, first = order_minhash.kmers(np.frombuffer("".join(t for _, t in rows).encode(), np.uint8), offsets, 5)
+    v, at, n = np.unique(labelled, return_inverse=True, return_counts=True)
+    seen = np.zeros((len(rows), (n > 1).sum()), np.float32)
+    twice = n[at] > 1
+    seen[np.repeat(np.arange(len(rows)), np.diff(first))[twice], (np.cumsum(n > 1) - 1)[at[twice]]] = 1
+    size, both = np.diff(first), seen @ seen.T
+    like = np.argwhere(np.triu(both / (size[:, None] + size - both) >= 0.8, 1)).tolist()
+    want = {(a, b) for a, b in like if order_minhash.aligned(labelled[first[a] : first[a + 1]], labelled[first[b] : first[b + 1]], 0.8)}
+    got = {i.doc_id: i.class_id for i in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) == 150 and {(c, i) for i, c in got.items() if i != c} == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (5, 6), (6, 5)], "a long, b long")
     assert {(r.node, r.root) for r in order_minhash.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8), (5, 5), (6, 5)}
