@@ -23,8 +23,8 @@ from millrace.llm.common import bounded_batches, key_rows, random_table, text_bl
 class Settings:
     """Bytes: no chunk but a document's only one is shorter than low; low + 2**bits is the mean; high is a forced cut."""
 
-    low: int = 32
-    bits: int = 6
+    low: int = 24
+    bits: int = 4
     high: int = 1024
 
 
@@ -42,9 +42,25 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def document_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """gear_hashes() of a block's documents, each as if alone: no cut depends on the document before."""
+    h = gear_hashes(data)
+    if len(data):
+        at = offsets[:-1, None] + np.arange(WINDOW - 1)
+        own = GEAR[data[np.minimum(at, len(data) - 1)]]
+        reach = 1
+        while reach < WINDOW:
+            grown = own.copy()
+            grown[:, reach:] += own[:, :-reach] << np.uint32(reach)
+            own, reach = grown, reach * 2
+        inside = at < offsets[1:, None]
+        h[at[inside]] = own[inside]
+    return h
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray, s: Settings = Settings()) -> list[list[int]]:
     """For each document of a block: where its chunks end (in the block). The last chunk takes a tail shorter than low."""
-    where = np.flatnonzero(gear_hashes(data) >> np.uint32(32 - s.bits) == 0) + 1
+    where = np.flatnonzero(document_hashes(data, offsets) >> np.uint32(32 - s.bits) == 0) + 1
     at, places, out = np.searchsorted(where, offsets, "right").tolist(), where.tolist(), []
     for d, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
         ends, last = [], a

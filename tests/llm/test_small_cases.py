@@ -316,6 +316,17 @@ def test_chunk_dedup_equals_brute_force(docs, empty):
     assert sum(x[1] for x in want) > 0 and not chunk_dedup.dedup(empty).collect()
 
 
+def test_chunks_find_passages_of_fifty_words(spark):
+    rows, size = [], {}
+    for i in range(150):
+        passage = prose(51, 1000 + i)
+        size[2 * i + 1] = len(passage)
+        rows += [(2 * i + k, f"{prose(60, 5000 + 4 * i + k)} {passage} {prose(60, 9000 + 4 * i + k)}") for k in (0, 1)]
+    got = {r.doc_id: r.n_removed for r in chunk_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    share = [got[i] / n for i, n in size.items()]
+    assert min(share) > 0 and sum(x >= 0.5 for x in share) > 0.9 * len(share)
+
+
 def test_gear_hash_and_shifts():
     data = np.frombuffer(prose(300, 8).encode(), np.uint8)
     h = chunk_dedup.gear_hashes(data)
