@@ -81,12 +81,32 @@ def pairs_sharing(rows: DataFrame, keys: str, most: int = 50, seed: int = 0) ->
     return own.filter((F.col("rn") <= most) & F.col("other").isNotNull()).select("key", F.least("form", "other").alias("a"), F.greatest("form", "other").alias("b"))
 
 
-def consistency(rows: DataFrame, most: int = 50, seed: int = 0) -> DataFrame:
+def grouped_pairs(rows: DataFrame, keys: str, most: int = 200, seed: int = 0) -> DataFrame:
+    """key, a, b: all pairs of forms a < b that share an element of `keys`, for keys of at most `most` pairs; `most` distinct
+    ones of the others, drawn by hash from all pairs of the key."""
+    own = rows.select("form", F.explode(F.array_distinct(keys)).alias("key")).distinct()
+    own = own.withColumn("j", F.row_number().over(Window.partitionBy("key").orderBy("form")).cast("long") - 1)
+    total = own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.expr("n * (n - 1) div 2").alias("total"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("total") - 1)
+    mixed = lambda x: F.xxhash64(F.lit(seed), F.col("key"), x)
+    dealt = F.transform(F.array_sort(F.transform(every, lambda x: F.struct(mixed(x).alias("h"), x.alias("x")))), lambda p: p["x"])
+    drawn = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(8 * most)), lambda i: F.pmod(mixed(i), F.col("total"))))
+    picked = F.when(F.col("total") <= most, every).when(F.col("total") <= 8 * most, F.slice(dealt, 1, most)).otherwise(F.slice(drawn, 1, most))
+    # Pair number x of ranks i < j is j * (j - 1) / 2 + i; the root may be one off.
+    j = F.floor((F.sqrt(8 * F.col("x") + 1) + 1) / 2)
+    pairs = total.select("key", F.explode(picked).alias("x")).withColumn("j", j)
+    pairs = pairs.withColumn("j", F.expr("CASE WHEN j * (j - 1) div 2 > x THEN j - 1 WHEN j * (j + 1) div 2 <= x THEN j + 1 ELSE j END"))
+    pairs = pairs.withColumn("i", F.expr("x - j * (j - 1) div 2"))
+    one, two = own.select("key", F.col("j").alias("i"), F.col("form").alias("a")), own.select("key", "j", F.col("form").alias("b"))
+    return pairs.join(one, ["key", "i"]).join(two, ["key", "j"]).select("key", "a", "b")
+
+
+def consistency(rows: DataFrame, most: int = 200, seed: int = 0) -> DataFrame:
     """rows (form, morphemes, pieces) -> precision P(shared morpheme | shared piece), recall the reverse, f1."""
     shared = rows.groupBy("form").agg(F.first("morphemes").alias("m"), F.first("pieces").alias("p"))
 
     def rate(keys: str, other: str) -> DataFrame:
-        p = pairs_sharing(rows, keys, most, seed).select("a", "b").distinct()
+        p = grouped_pairs(rows, keys, most, seed).select("a", "b").distinct()
         left, right = shared.select(F.col("form").alias("a"), F.col(other).alias("x")), shared.select(F.col("form").alias("b"), F.col(other).alias("y"))
         return p.join(left, "a").join(right, "b").agg(F.coalesce(F.avg(F.arrays_overlap("x", "y").cast("double")), F.lit(0.0)).alias("v"))
 

@@ -66,6 +66,17 @@ def test_hot_key_makes_few_pairs(spark):
     assert morphology.pairs_sharing(rows, "m", 50).count() == 50
 
 
+def test_small_keys_give_all_pairs_and_large_ones_200(spark):
+    forms = [(f"{k}{i:03}", [k], [k, str(i % 2)]) for k, n in (("a", 20), ("b", 25), ("c", 300)) for i in range(n)]
+    rows = spark.createDataFrame(forms, "form string, morphemes array<string>, pieces array<string>")
+    got = [tuple(r) for r in morphology.grouped_pairs(rows, "morphemes").collect()]
+    assert len(got) == len(set(got)) == 590 and all(a < b for _, a, b in got)
+    assert {(a, b) for k, a, b in got if k == "a"} == {(f"a{i:03}", f"a{j:03}") for j in range(20) for i in range(j)}
+    assert len({x for k, *p in got if k == "c" for x in p}) > 150
+    few = spark.createDataFrame([("x1", ["m"], ["p"]), ("x2", ["m"], ["p"]), ("x3", ["m"], ["q"])], rows.schema)
+    assert morphology.consistency(few).first().recall == pytest.approx(1 / 3)
+
+
 def test_letters_and_p():
     T, N = True, False
     assert significance.compact_letters([[T, T, N], [T, T, T], [N, T, T]]) == ["a", "ab", "b"]
