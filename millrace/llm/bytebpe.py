@@ -73,30 +73,35 @@ def states_before(kinds: np.ndarray, step: np.ndarray = NEXT, start: int = START
     maps = np.tile(np.arange(m, dtype=np.uint8), (rows, 1))
     flat = step.ravel()
     for j in range(BLOCK):
-        maps = flat[grid[j].astype(np.intp)[:, None] * m + maps]
+        maps = flat.take((grid[j] * np.uint8(m))[:, None] + maps)
     reach, lane = 1, np.arange(rows)[:, None]
     while reach < rows:  # inclusive scan: maps[i] = all blocks up to i, composed
         maps[reach:] = maps[lane[reach:], maps[:-reach]]
         reach *= 2
-    state = np.concatenate([[start], maps[:-1, start]]).astype(np.intp)
+    state = np.concatenate([np.array([start], np.uint8), maps[:-1, start]])
     out = np.empty((BLOCK, rows), np.uint8)
     for j in range(BLOCK):
         out[j] = state
-        state = flat[grid[j].astype(np.intp) * m + state].astype(np.intp)
+        state = flat.take(grid[j] * np.uint8(m) + state)
     return out.T.ravel()[:n]
 
 
-def boundaries(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+def states_of_neighbours(kinds: np.ndarray) -> np.ndarray:
+    """The same as states_before() for NEXT, whose functions are all constant: the state is the class before."""
+    return np.concatenate([np.array([START], np.uint8), NEXT[:, 0].take(kinds[:-1])])
+
+
+def boundaries(points: np.ndarray, firsts: np.ndarray, states: Callable[[np.ndarray], np.ndarray] = states_before) -> np.ndarray:
     """Sorted positions where a pre-token begins. points: code points of documents in a row; firsts: where each begins."""
     n = len(points)
     if not n:
         return np.zeros(0, np.int64)
-    kind = classes()[points]
-    state = states_before(kind)
+    kind = classes().take(points)
+    state = states(kind)
     first = np.zeros(n + 1, bool)
     first[firsts[firsts <= n]] = True
     first[n] = True
-    cut = CUT.ravel()[kind.astype(np.intp) * N_STATES + state]
+    cut = CUT.ravel().take(kind * np.uint8(N_STATES) + state)
     white = kind >= BLANK
     # A blank run with a successor gives up its last code point: U+0020 joins the successor, another stays alone.
     ends = white[:-1] & ~white[1:] & ~first[1:n]
@@ -165,35 +170,80 @@ def read_ranks(file: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class _Numbers(dict):
+    """A number for each key, given out in the order in which keys are first asked for; those keys are listed in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+
 class SliceCache:
-    """Pre-token (UTF-8) -> its ids as little-endian uint32 bytes. `encode_new` encodes a list of unseen pre-tokens.
+    """Pre-token (UTF-8) -> its ids. `encode_new` turns a list of unseen pre-tokens into their ids as little-endian uint32.
 
-    At most `most` pre-tokens are kept; a full cache is emptied, which costs time and changes no result.
+    Pre-tokens are numbered; by number, `size` and `begin` tell where in `ids` those of a pre-token are. Once there are more
+    than `most` numbers a new generation begins; what it needs of the last one is copied, not encoded again. Only the last
+    generation is kept, so memory is bounded, and results are the same whatever is kept.
     """
 
-    def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]], most: int = 250_000):
-        self.ids: dict[bytes, bytes] = {}
-        self.encode_new, self.most = encode_new, most
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, np.ndarray]]:
-        """For each document of a block: ids as uint32 bytes, and where its pre-tokens end in code points."""
+    def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]], most: int = 400_000, states: Callable = states_before):
+        self.encode_new, self.most, self.states = encode_new, most, states
+        self.old: dict[bytes, int] = {}
+        self.old_ids = self.old_begin = self.old_size = None
+        self._begin_generation()
+
+    def _begin_generation(self) -> None:
+        self.numbers, self.used, self.known = _Numbers(), 0, 0
+        self.ids, self.begin, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+
+    def _ids_of(self, new: list[bytes]) -> list[bytes]:
+        where = [*map(self.old.get, new)]
+        unseen = [x for x, i in zip(new, where) if i is None]
+        fresh = iter(self.encode_new(unseen) if unseen else [])
+        return [next(fresh) if i is None else self.old_ids[self.old_begin[i] : self.old_begin[i] + self.old_size[i]].tobytes() for i in where]
+
+    def _learn(self) -> None:
+        """Give the ids of the pre-tokens that were numbered last their place."""
+        got = self._ids_of(self.numbers.new)
+        flat, size = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) >> 2
+        n, k = self.known + len(got), self.used + len(flat)
+        if n > len(self.size):
+            self.begin, self.size = np.resize(self.begin, 2 * n), np.resize(self.size, 2 * n)
+        if k > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * k)
+        self.ids[self.used : k] = flat
+        self.size[self.known : n] = size
+        self.begin[self.known : n] = self.used + np.cumsum(size) - size
+        self.known, self.used = n, k
+        self.numbers.new = []
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a block of documents: (all ids, n + 1 places where a document's ids begin, ends of its pre-tokens in code points
+        of their document, n + 1 places where a document's ends begin)."""
         heads = np.flatnonzero((data & 0xC0) != 0x80)
         points, firsts = code_points(data), np.searchsorted(heads, offsets)
-        cuts = boundaries(points, firsts[:-1])
+        cuts = boundaries(points, firsts[:-1], self.states)
+        to = np.searchsorted(cuts, firsts, "left")
+        if not len(cuts):
+            return np.zeros(0, np.uint32), to, cuts, to
         # 0xFF is in no UTF-8 text: put before every pre-token but the first, it lets bytes.split do the slicing.
-        slices = np.insert(data, heads[cuts[1:]], 0xFF).tobytes().split(b"\xff") if len(cuts) else []
-        if len(self.ids) > self.most:
-            self.ids.clear()
-        known = self.ids
-        got = [*map(known.get, slices)]
-        if None in got:
-            new = [*dict.fromkeys(x for x, y in zip(slices, got) if y is None)]
-            known.update(zip(new, self.encode_new(new)))
-            got = [*map(known.__getitem__, slices)]
-        to = np.searchsorted(cuts, firsts, "left").tolist()
-        ends = np.append(cuts[1:], len(points))
-        for d, (a, b) in enumerate(zip(to, to[1:])):
-            yield b"".join(got[a:b]), ends[a:b] - firsts[d]
+        slices = np.insert(data, heads[cuts[1:]], 0xFF).tobytes().split(b"\xff")
+        if self.known > self.most:
+            self.old, self.old_ids, self.old_begin, self.old_size = dict(self.numbers), self.ids[: self.used], self.begin, self.size
+            self._begin_generation()
+        number = np.fromiter(map(self.numbers.__getitem__, slices), np.int32, len(slices))
+        if self.numbers.new:
+            self._learn()
+        size = self.size.take(number).astype(np.int64)
+        stop = np.cumsum(size)
+        out = self.ids.take(np.repeat(self.begin.take(number) - (stop - size), size) + np.arange(int(stop[-1])))
+        ends = np.append(cuts[1:], len(points)) - np.repeat(firsts[:-1], np.diff(to))
+        return out, np.concatenate([[0], stop])[to], ends, to
 
 
 #: One cache for a worker process and vocabulary: later tasks of the process find what earlier ones encoded.
@@ -237,9 +287,10 @@ def encode_documents(docs: DataFrame, ranks_file: str, keep: list[str] | None =
         cache, vocabulary = of_process(f"cache {ranks_file}", lambda: rank_cache(ranks)), vocabulary_of(ranks)
         for batch in batches:
             for i, j, data, offsets in text_blocks(batch.column("text")):
-                found = [*cache.encode(data, offsets)]
+                ids, at, ends, place = cache.encode(data, offsets)
+                parts = [ids[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(i, j - i) for k in keep), pa.array([x for x, _ in found], pa.binary()), pa.array([len(x) // 4 for x, _ in found], pa.int64()), pa.array([e.astype(np.int32) for _, e in found], pa.list_(pa.int32())), pa.array([decode(x, vocabulary) for x, _ in found], pa.binary())],
+                    [*(batch.column(k).slice(i, j - i) for k in keep), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(place.astype(np.int32)), pa.array(ends.astype(np.int32))), pa.array([decode(x, vocabulary) for x in parts], pa.binary())],
                     [*keep, "ids", "n_tokens", "slice_ends", "decoded"],
                 )
 
@@ -253,9 +304,9 @@ def vocabulary_of(ranks: dict[bytes, int]) -> list[bytes]:
     return out
 
 
-def decode(ids: bytes, vocabulary: list[bytes]) -> bytes:
-    """The bytes that ids (little-endian uint32) stand for."""
-    return b"".join([vocabulary[i] for i in np.frombuffer(ids, "<u4").tolist()])
+def decode(ids: bytes | np.ndarray, vocabulary: list[bytes]) -> bytes:
+    """The bytes that ids (an array, or little-endian uint32) stand for."""
+    return b"".join(map(vocabulary.__getitem__, (np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else ids).tolist()))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.bytebpe import SliceCache, local_file, of_process, ship
+from millrace.llm.bytebpe import SliceCache, local_file, of_process, ship, states_of_neighbours
 from millrace.llm.common import bounded_batches, mix64, scratch, tasks_for, text_blocks
 
 MAGIC, RESTART, BLOCK_TARGET = b"MRSST001", 16, 1 << 16
@@ -219,25 +219,46 @@ def encode_apart(tokenizer, new: list[bytes], size: int = 200) -> list[bytes]:
     return out
 
 
-def library_cache(path: str) -> tuple[object, SliceCache | None]:
-    """The tokenizer, and a cache of its pre-tokens where they are those of the byte-level pattern (else None).
+class Encoder:
+    """Texts to ids by the tokenizers library; `special_as_text` takes a special token's string in a text for ordinary text.
 
-    Such a tokenizer encodes each pre-token by itself, so a text's ids are its pre-tokens' ids in a row; each distinct
-    pre-token then goes through the library once a worker process.
+    A tokenizer of the byte-level pattern encodes each pre-token by itself, so a text's ids are its pre-tokens' ids in a row;
+    each distinct pre-token then goes through the library once a worker process. Texts that hold the string of an added token
+    go through it whole, and so do all texts of other tokenizers.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    before = spec.get("pre_tokenizer") or {}
-    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and spec.get("normalizer") is None and not [t for t in spec.get("added_tokens", []) if not t.get("special")]
-    return tokenizer, SliceCache(lambda new: encode_apart(tokenizer, new)) if plain else None
-
-
-def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int = 2, shards: int | None = None) -> list[dict]:
+    def __init__(self, path: str, special_as_text: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = special_as_text
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and spec.get("normalizer") is None
+        self.added = [t["content"].encode() for t in added if not (special_as_text and t.get("special"))]
+        self.cache = SliceCache(lambda new: encode_apart(self.tokenizer, new), states=states_of_neighbours) if plain else None
+
+    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([x.decode() for x in texts], add_special_tokens=False)]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each document of a block."""
+        spans = [*zip(offsets.tolist(), offsets[1:].tolist())]
+        if self.cache is None:
+            return self.whole([data[a:b].tobytes() for a, b in spans])
+        ids, at, _, _ = self.cache.encode(data, offsets)
+        out = [ids[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
+        all_ = data.tobytes()
+        if any(x in all_ for x in self.added):
+            odd = [d for d, (a, b) in enumerate(spans) if any(all_.find(x, a, b) >= 0 for x in self.added)]
+            for d, found in zip(odd, self.whole([all_[slice(*spans[d])] for d in odd])):
+                out[d] = found
+        return out
+
+
+def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int = 2, shards: int | None = None, special_as_text: bool = False) -> list[dict]:
     """Encode docs (doc_id, text) and write them as shards in ascending doc_id order; a list with an item for each shard.
 
     Rows are dealt by doc_id ranges and sorted within (ties: by text), so shard k's keys all precede shard k + 1's. A shard
@@ -252,7 +273,8 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId()
-        tokenizer = cache = writer = None
+        encoder = writer = None
+        end = np.array([end_id], np.uint32)
         where, base = pafs.FileSystem.from_uri(folder)
         where.create_dir(base, recursive=True)
         own, final = f"{base}/.{part:06d}.{context.taskAttemptId()}", f"{base}/{part:06d}.sst"
@@ -260,17 +282,12 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int
             if not batch.num_rows:
                 continue
             if writer is None:
-                tokenizer, cache = of_process(f"library {tokenizer_file}", lambda: library_cache(local_file(tokenizer_file)))
+                encoder = of_process(f"library {tokenizer_file} {special_as_text}", lambda: Encoder(local_file(tokenizer_file), special_as_text))
                 writer = Writer(where.open_output_stream(own))
             ids = batch.column("doc_id").to_pylist()
             for i, j, data, offsets in text_blocks(batch.column("text")):
-                if cache is not None:
-                    found = [x for x, _ in cache.encode(data, offsets)]
-                else:
-                    texts = [data[a:b].tobytes().decode() for a, b in zip(offsets, offsets[1:])]
-                    found = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-                for doc_id, x in zip(ids[i:j], found):
-                    writer.add(key_of(doc_id), np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)))
+                for doc_id, x in zip(ids[i:j], encoder.encode(data, offsets)):
+                    writer.add(key_of(doc_id), np.concatenate([x, end]))
         if writer is not None:
             writer.close()
             where.move(own, final)
