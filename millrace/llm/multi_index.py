@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by inner product: an inverted multi-index, exactly reranked.
 
-Fit, on a bounded sample in one task: each vector half gets a codebook by k-means; a cell is a pair of centroids. Index:
-every row is put in its cell, and cells are packed into blocks of bounded size (a cell with more rows is split by a hash
-of vec_id). Search: a query walks centroid pairs by ascending summed distance (minus inner product) with a heap until the
-cells so far hold the wanted share of the rows; the distance it got to decides which cells it sees. Queries meet blocks on
-(block, part of the queries), so no group grows with the data. In a block the seen rows are scored in double precision.
+Fit, on a bounded sample in one task: each vector half gets a codebook by k-means, the larger the more rows there are; a
+cell is a pair of centroids. Index: every row is put in its cell, and cells are packed into blocks of bounded size (a cell
+with more rows is split by a hash of vec_id). Search: a query walks centroid pairs by ascending summed distance (minus inner
+product) with a heap until the cells so far hold the wanted share of the rows; the distance it got to decides which cells it
+sees, and it is sent to their blocks. Rows are shuffled once, whatever the number of queries: a task holds one block at a
+time, and the queries sent to it, which come after its rows, stream past. Seen rows are scored in double precision.
 The wanted share is the least that reached the target recall on the sample, measured there against brute force.
 """
 
@@ -25,16 +26,18 @@ from millrace.llm.common import cut
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_rows bounds the fit; block_rows and query_rows bound a group of the search."""
+    """sample_rows bounds the fit, block_rows a block; codebooks have about sqrt(rows / cell_rows) centroids, at most
+    `centroids`, so that cells hold cell_rows rows on average as long as they can be listed on the driver."""
 
-    centroids: int = 64
+    centroids: int = 512
+    cell_rows: int = 16
     sample_rows: int = 20_000
     sample_queries: int = 200
     rounds: int = 12
     recall: float = 0.95
     k: int = 20
     block_rows: int = 16_384
-    query_rows: int = 2_048
+    least_block_rows: int = 1_024
 
 
 @dataclass
@@ -94,9 +97,9 @@ def walk(one: np.ndarray, two: np.ndarray, counts: np.ndarray, wanted: float) ->
     return reached
 
 
-def fit(sample: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
-    """Codebooks of the halves, and the share of rows to see for s.recall on the sample."""
-    half, k = max(1, sample.shape[1] // 2), min(s.centroids, int(len(sample) ** 0.5) + 1)
+def fit(sample: np.ndarray, k: int, s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
+    """Codebooks of the halves, of at most k centroids, and the share of rows to see for s.recall on the sample."""
+    half = max(1, sample.shape[1] // 2)
     one, two = k_means(sample[:, :half], k, s.rounds), k_means(sample[:, half:], k, s.rounds)
     cell = nearest(sample[:, :half], one) * len(two) + nearest(sample[:, half:], two)
     counts = np.bincount(cell, minlength=len(one) * len(two))
@@ -121,15 +124,17 @@ def build(embeddings: DataFrame, s: Settings = Settings()) -> Index | None:
     sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     if not sizes:
         return None
-    dim = sizes[0]["d"]
+    dim, total = sizes[0]["d"], sizes[0]["count"]
+    k = min(s.centroids, max(8, int((total / s.cell_rows) ** 0.5)))
+    block_rows = min(s.block_rows, max(s.least_block_rows, total // 256))
     rows = rows.filter(F.size("vec") == dim)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if got := [vectors(b.column("vec"), dim).astype(np.float64) for b in batches if b.num_rows]:
-            one, two, share = fit(np.concatenate(got), s)
+            one, two, share = fit(np.concatenate(got), k, s)
             yield pa.RecordBatch.from_pydict({"one": [one.tobytes()], "two": [two.tobytes()], "share": [share]})
 
-    picked = rows.withColumn("_h", F.xxhash64("vec_id")).orderBy("_h", "vec_id").limit(s.sample_rows).select("vec").coalesce(1)
+    picked = rows.withColumn("_h", F.xxhash64("vec_id")).orderBy("_h", "vec_id", "vec").limit(s.sample_rows).select("vec").coalesce(1)
     got = picked.mapInArrow(fitted, "one binary, two binary, share double").collect()[0]
     half = max(1, dim // 2)
     one = np.frombuffer(got["one"]).reshape(-1, half)
@@ -146,14 +151,14 @@ def build(embeddings: DataFrame, s: Settings = Settings()) -> Index | None:
     counts = np.zeros(len(one) * len(two), np.int64)
     for cell, n in indexed.groupBy("cell").count().collect():
         counts[cell] = n
-    splits = np.maximum(-(-counts // s.block_rows), 1)
-    first, at, room = np.zeros(len(counts), np.int64), 0, s.block_rows
+    splits = np.maximum(-(-counts // block_rows), 1)
+    first, at, room = np.zeros(len(counts), np.int64), 0, block_rows
     for c, n in enumerate(counts.tolist()):  # cells go to blocks in order; a split cell has blocks of its own
         if n > room or splits[c] > 1:
-            at, room = at + (room < s.block_rows), s.block_rows
+            at, room = at + (room < block_rows), block_rows
         first[c], room = at, room - n
         if splits[c] > 1:
-            at, room = at + int(splits[c]), s.block_rows
+            at, room = at + int(splits[c]), block_rows
     place = spark.createDataFrame([(c, int(first[c]), int(splits[c])) for c in np.flatnonzero(counts).tolist()], "cell int, first int, splits int")
     blocked = indexed.join(F.broadcast(place), "cell").select("vec_id", "vec", "cell", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("splits")).cast("int")).alias("block"))
     return Index((one, two), got["share"], counts, first, splits, blocked)
@@ -167,7 +172,6 @@ def search(index: Index, queries: DataFrame, s: Settings = Settings()) -> DataFr
     wanted, total = index.share * counts.sum(), int(counts.sum())
     last = index.first_block + index.splits - 1
     filled = np.flatnonzero(counts)
-    parts = max(1, -(-queries.count() // s.query_rows))
     kind = index.rows.schema["vec"].dataType.simpleString()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,15 +189,10 @@ def search(index: Index, queries: DataFrame, s: Settings = Settings()) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column("query_id").take(pa.array(source, pa.int64())), b.column("vec").take(pa.array(source, pa.int64())), pa.array(reach, pa.float64()), pa.array(block, pa.int32())], ["query_id", "vec", "reach", "block"])
 
     index_first, index_last = index.first_block, last
-    asked = queries.select("query_id", "vec").mapInArrow(spread, f"query_id long, vec {kind}, reach double, block int").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    rows = index.rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def ranked(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in (("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()))})
-        x, q = vectors(left["vec"], dim).astype(np.float64), vectors(right["vec"], dim).astype(np.float64)
-        ids, own, cell = left["vec_id"].to_numpy(), right["query_id"].to_numpy(), left["cell"].to_numpy()
-        reach, found = right["reach"].to_numpy(), []
+    asked = queries.select("query_id", "vec").mapInArrow(spread, f"query_id long, vec {kind}, reach double, block int")
+
+    def score(block: tuple[np.ndarray, ...], own: np.ndarray, q: np.ndarray, reach: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, x, cell = block
         for a in range(0, len(q), 256):
             part = q[a : a + 256]
             far = -((part[:, :half] @ one.T)[:, cell // len(two)] + (part[:, half:] @ two.T)[:, cell % len(two)])
@@ -206,19 +205,41 @@ def search(index: Index, queries: DataFrame, s: Settings = Settings()) -> DataFr
                 exact += part[i, d] * x[j, d]
             order = np.lexsort((ids[j], -exact, i))
             i, j, exact = i[order], j[order], exact[order]
-            at = np.arange(len(i)) - np.searchsorted(i, i)
-            found.append((own[a + i[at < s.k]], ids[j[at < s.k]], exact[at < s.k]))
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(np.concatenate(c)) for c in zip(*found)))))
+            top = np.arange(len(i)) - np.searchsorted(i, i) < s.k
+            yield pa.RecordBatch.from_arrays([pa.array(own[a + i[top]]), pa.array(ids[j[top]]), pa.array(exact[top])], ["query_id", "vec_id", "score"])
 
-    near = rows.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(ranked, "query_id long, vec_id long, score double")
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows and queries in the order of blocks, a block's rows before its queries."""
+        at, held, ready = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            block, cell = b.column("block").to_numpy(), b.column("cell").to_numpy()
+            ids, x, reach = b.column("id").to_numpy(), vectors(b.column("vec"), dim).astype(np.float64), b.column("reach").to_numpy()
+            edge = np.flatnonzero((block[1:] != block[:-1]) | ((cell[1:] < 0) != (cell[:-1] < 0))) + 1
+            for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(block)]):
+                if block[i] != at:
+                    at, held, ready = block[i], [], None
+                if cell[i] >= 0:
+                    held.append((ids[i:j], x[i:j], cell[i:j]))
+                elif held:
+                    ready = ready or tuple(np.concatenate(c) for c in zip(*held))
+                    yield from score(ready, ids[i:j], x[i:j], reach[i:j])
+
+    rows = index.rows.select("block", "cell", F.col("vec_id").alias("id"), "vec", F.lit(0.0).alias("reach"))
+    both = rows.unionByName(asked.select("block", F.lit(-1).alias("cell"), F.col("query_id").alias("id"), "vec", "reach"))
+    near = both.repartition("block").sortWithinPartitions("block", F.col("cell") < 0, "id").mapInArrow(ranked, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
 
 
 def neighbours(embeddings: DataFrame, every: int = 20, s: Settings = Settings()) -> DataFrame:
-    """The s.k nearest of every row whose vec_id is divisible by `every`; no rows for an empty table."""
+    """The s.k nearest of every row whose vec_id is divisible by `every`; no rows for an empty table.
+
+    A repeated vec_id is one query, with the smallest of its vectors (component by component from the first); its rows are
+    candidates of other queries alone, each by itself."""
     index = build(embeddings, s)
     if index is None:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = index.rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vec").dropDuplicates(["query_id"])
+    asked = index.rows.filter(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec"))
     return search(index, asked, s)
