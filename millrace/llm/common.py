@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -21,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where none is set, one of its own if Spark runs in
+    this process alone, else an error."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
             sc.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
         folder = sc._jsc.sc().getCheckpointDir().get()
     return folder
@@ -41,6 +45,33 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """df, written to the shared folder and read again.
+
+    Spark deletes the shuffle files of finished jobs once the driver has collected what refers to them; it is asked to, as
+    the next step fills the same disks. Results don't depend on it: what is read later is in the shared folder.
+    """
+    spark, at = df.sparkSession, scratch(df.sparkSession, kind)
+    df.write.parquet(at)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.parquet(at)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared ones."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of stored() tables that are no longer read."""
+    for df in frames:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            delete(df.sparkSession, folder)
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df; batches of its texts to Python hold ARROW_ROWS rows, unless the session sets a number of its own.
 
@@ -101,11 +132,13 @@ def valid_utf8(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
 
 
-def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, UTF-8 bytes, offsets from 0) of a text column's blocks of whole documents."""
+def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES, raw: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, UTF-8 bytes, offsets from 0) of a text column's blocks of whole documents; raw: bytes as they are,
+    UTF-8 or not."""
     data, offsets = text_bytes(column)
     for i, j in blocks(offsets, limit):
-        yield i, j, *valid_utf8(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        yield i, j, *(own if raw else valid_utf8(*own))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -8,46 +8,33 @@ times the input; so suffixes are first dealt, without loss, into independent set
    Equal windows have equal anchors, so windows can be equal only where an anchor's hash occurs twice. Consecutive windows
    with one anchor form a run, a row; runs whose anchor hash is alone drop out.
 2. Equal runs are collapsed to the first, by partial minima; of the others every window is a repeat.
-3. Remaining runs, with their bytes, go to sets by anchor hash. In a set the difference-cover algorithm sorts the suffixes:
-   sampled triples are sorted and named, names are sorted recursively, the rest is merged in; adjacent suffixes that share
-   100 bytes form a group, of which all but the first go.
+3. Remaining runs, with their bytes, go to sets by anchor hash, as many sets as the counted bytes need at SET_BYTES each. In
+   a set the difference-cover algorithm sorts the suffixes: sampled triples are sorted and named, names are sorted
+   recursively, the rest is merged in; adjacent suffixes that share 100 bytes form a group, of which all but the first go.
+4. An anchor whose runs hold more than SET_BYTES (a very common line with many surroundings) makes no set: its runs are dealt
+   anew by the next longer anchor, from step 1. The last anchor is the window itself, so that equal windows alone meet, and
+   these are collapsed; no set grows with the data.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.chunk_dedup import remove
-from millrace.llm.common import bounded_batches, gram_hashes, key_rows, mix64, scratch, tasks_for, text_blocks, text_bytes, _BYTE, _INV, _STEP, _powers
+from millrace.llm.common import bounded_batches, dropped, gram_hashes, key_rows, mix64, stored, text_blocks, text_bytes, _BYTE, _INV, _STEP, _powers
 
-LENGTH, GRAM = 100, 24
+LENGTH = 100
+#: Bytes of the anchors of each dealing, and of a set.
+GRAMS = (24, 56, 84, LENGTH)
+SET_BYTES = 1 << 19
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """df, written to the shared folder and read again; shuffle files that nothing refers to any more are let go."""
-    spark, at = df.sparkSession, scratch(df.sparkSession, kind)
-    df.write.parquet(at)
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.parquet(at)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a stored() table that is no longer read."""
-    jvm = df.sparkSession._jvm
-    for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, offsets: np.ndarray, gram: int = GRAMS[0], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(first window start, windows - 1, hash, identity) of each run of a block; starts are in the block.
 
     The identity is a hash of all bytes that the run's windows cover and of where its anchor is in them."""
@@ -83,7 +70,7 @@ def runs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("_key").to_numpy()
-            for i, j, data, offsets in text_blocks(batch.column("text")):
+            for i, j, data, offsets in text_blocks(batch.column("text"), raw=True):
                 lo, more, h, same = anchors(data, offsets)
                 doc = np.searchsorted(offsets, lo, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), same.view(np.int64), keys[i:j][doc], (lo - offsets[doc]).astype(np.int32), more.astype(np.int32))], ["anchor", "same", "_key", "lo", "more"])
@@ -91,6 +78,21 @@ def runs(docs: DataFrame) -> DataFrame:
     return bounded_batches(docs.select("_key", "text")).mapInArrow(run, "anchor long, same long, _key long, lo int, more int")
 
 
+def runs_of_pieces(pieces: DataFrame, gram: int) -> DataFrame:
+    """pieces (_key, lo, body) -> anchor, same, _key, lo, more, body: the runs of the pieces, with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, base = batch.column("_key").to_numpy(), batch.column("lo").to_numpy()
+            for i, j, data, offsets in text_blocks(batch.column("body"), raw=True):
+                lo, more, h, same = anchors(data, offsets, gram)
+                own, whole = np.searchsorted(offsets, lo, "right") - 1, data.tobytes()
+                body = pa.array([whole[a : a + m + LENGTH] for a, m in zip(lo.tolist(), more.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (h.view(np.int64), same.view(np.int64), keys[i:j][own], (base[i:j][own] + lo - offsets[own]).astype(np.int32), more.astype(np.int32))), body], ["anchor", "same", "_key", "lo", "more", "body"])
+
+    return bounded_batches(pieces.select("_key", "lo", "body")).mapInArrow(run, "anchor long, same long, _key long, lo int, more int, body binary")
+
+
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     """Positions of s (values of 1 or more) in the order of their suffixes, by the difference cover {1, 2} modulo 3.
 
@@ -169,51 +171,79 @@ def repeats_in_set(keys: np.ndarray, lo: np.ndarray, more: np.ndarray, data: np.
     return key[first], start[first], start[last] + LENGTH
 
 
-def repeats(keyed: DataFrame) -> DataFrame:
-    """keyed (_key, text) -> _key, spans array<struct<start, stop>>."""
-    spark = keyed.sparkSession
-    every = runs(keyed)
-    again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    near = stored(every.join(again, "anchor"), "suffix-near")
-    first = near.groupBy("anchor", "same").agg(F.min(F.struct("_key", "lo", "more")).alias("f"), F.count(F.lit(1)).alias("n"))
-    first = stored(first.select("anchor", "same", "f._key", "f.lo", "f.more", "n"), "suffix-first")
-    some = first.filter("n > 1").select("anchor", "same", F.struct("_key", "lo").alias("f"))
-    copies = near.join(some, ["anchor", "same"]).filter(F.struct("_key", "lo") != F.col("f")).select("_key", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + LENGTH).alias("stop"))
-    varied = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    todo = first.join(varied, "anchor").groupBy("_key").agg(F.collect_list(F.struct("anchor", "lo", "more")).alias("runs"))
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def bodies(keyed: DataFrame, todo: DataFrame) -> DataFrame:
+    """todo (anchor, _key, lo, more, hot) with the bytes that its windows cover, from keyed (_key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             lists, keys = batch.column("runs"), batch.column("_key").to_numpy()
             own = np.repeat(np.arange(len(keys)), np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten()
-            anchor, lo, more = (flat.field(i).to_numpy() for i in range(3))
-            whole = data.tobytes()
-            begin = (offsets[own] + lo).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(keys[own]), pa.array(lo), pa.array(more), pa.array([whole[a : a + m + LENGTH] for a, m in zip(begin, more.tolist())], pa.binary())], ["anchor", "_key", "lo", "more", "bytes"])
+            anchor, lo, more, hot = (flat.field(i) for i in range(4))
+            whole, begin = data.tobytes(), (offsets[own] + lo.to_numpy()).tolist()
+            yield pa.RecordBatch.from_arrays([anchor, pa.array(keys[own]), lo, more, hot, pa.array([whole[a : a + m + LENGTH] for a, m in zip(begin, more.to_pylist())], pa.binary())], ["anchor", "_key", "lo", "more", "hot", "body"])
 
-    held = bounded_batches(keyed.select("_key", "text").join(todo, "_key")).mapInArrow(cut_out, "anchor long, _key long, lo int, more int, bytes binary")
+    todo = todo.groupBy("_key").agg(F.collect_list(F.struct("anchor", "lo", "more", "hot")).alias("runs"))
+    return bounded_batches(keyed.select("_key", "text").join(todo, "_key")).mapInArrow(run, "anchor long, _key long, lo int, more int, hot boolean, body binary")
 
-    def in_set(key: tuple, table: pa.Table) -> pa.Table:
-        data, offsets = text_bytes(table["bytes"])
+
+def in_sets(held: DataFrame, sets: int) -> DataFrame:
+    """_key, start, stop of what is repeated in held (anchor, _key, lo, more, body), sorted set by set."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        data, offsets = text_bytes(table["body"])
         got = repeats_in_set(table["_key"].to_numpy(), table["lo"].to_numpy().astype(np.int64), table["more"].to_numpy(), data, offsets)
         return pa.table({"_key": pa.array(got[0], pa.int64()), "start": pa.array(got[1].astype(np.int32)), "stop": pa.array(got[2].astype(np.int32))})
 
-    dealt = held.withColumn("set", F.pmod(F.xxhash64("anchor"), F.lit(tasks_for(spark) * 16)))
-    sorted_out = dealt.groupBy("set").applyInArrow(in_set, "_key long, start int, stop int")
-    out = stored(copies.unionByName(sorted_out).groupBy("_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans")
-    dropped(near)
-    dropped(first)
+    dealt = held.select(F.pmod(F.xxhash64("anchor"), F.lit(sets)).alias("set"), "_key", "lo", "more", "body")
+    return dealt.groupBy("set").applyInArrow(run, "_key long, start int, stop int")
+
+
+def repeats(keyed: DataFrame, set_bytes: int = SET_BYTES) -> DataFrame:
+    """keyed (_key, text) -> _key, spans array<struct<start, stop>>."""
+    every = runs(keyed)
+    again = stored(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "suffix-again")
+    near = stored(every.join(again, "anchor"), "suffix-near")
+    dropped(again)
+    found: list[DataFrame] = []
+    for level, gram in enumerate(GRAMS):
+        if level:
+            near = stored(runs_of_pieces(hot, gram), "suffix-near")
+            dropped(hot)
+        first = near.groupBy("anchor", "same").agg(F.min(F.struct("_key", "lo", "more")).alias("f"), F.count(F.lit(1)).alias("n"))
+        first = stored(first.select("anchor", "same", "f.*", "n"), "suffix-first")
+        some = first.filter("n > 1").select("anchor", "same", F.struct("_key", "lo").alias("f"))
+        copies = near.join(some, ["anchor", "same"]).filter(F.struct("_key", "lo") != F.col("f")).select("_key", F.col("lo").alias("start"), _stop().alias("stop"))
+        varied = stored(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("more") + LENGTH).alias("size")).filter("n > 1").select("anchor", "size"), "suffix-varied")
+        too_large = F.col("size") > (set_bytes if gram < LENGTH else 1 << 62)
+        total, n_hot = varied.agg(F.sum(F.when(~too_large, F.col("size"))), F.count_if(too_large)).first()
+        todo = first.join(varied, "anchor").select("anchor", "_key", "lo", "more", too_large.alias("hot"))
+        held = near.join(todo, ["anchor", "_key", "lo", "more"]).select("anchor", "_key", "lo", "more", "hot", "body") if level else bodies(keyed, todo)
+        held = stored(held, "suffix-held") if n_hot else held
+        found.append(stored(copies.unionByName(in_sets(held.filter("not hot"), -(-(total or 0) // set_bytes) or 1)), "suffix-found"))
+        hot = stored(held.filter("hot").select("_key", "lo", "body"), "suffix-hot") if n_hot else None
+        dropped(near, first, varied, *([held] if n_hot else []))
+        if hot is None:
+            break
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionByName(more)
+    out = stored(spans.groupBy("_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-spans")
+    dropped(*found)
     return out
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def _stop() -> Column:
+    return F.col("lo") + F.col("more") + LENGTH
+
+
+def dedup(docs: DataFrame, set_bytes: int = SET_BYTES) -> DataFrame:
     """One row a document of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept binary.
 
-    Texts are UTF-8 bytes, null is empty; matches do not cross documents; strings are judged on the input. Repeated ids
+    Texts are bytes, as they are (UTF-8 or not); null is empty; matches do not cross documents; strings are judged on the input. Repeated ids
     (null ids too) are documents of their own, in the order of their texts. Texts under 100 bytes are kept whole. Further
     columns are not read. An empty table gives no rows.
     """
     keyed = key_rows(docs.select("doc_id", "text"))
-    return remove(keyed, repeats(keyed))
+    return remove(keyed, repeats(keyed, set_bytes))
