@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, key_rows, random_table, text_blocks, text_bytes
+from millrace.llm.common import bounded_batches, dropped, key_rows, random_table, stored, text_blocks, text_bytes
 
 
 @dataclass(frozen=True)
@@ -82,30 +82,35 @@ def cuts(data: np.ndarray, offsets: np.ndarray, s: Settings = Settings()) -> lis
 def chunks(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs (_key, text) -> _key, start int, size int, d1 long, d2 long (a 128-bit digest), a row for each chunk.
 
-    A document shorter than s.low has no chunk: it is too short to tell a copy from chance."""
+    A document shorter than s.low is one chunk, an empty one has none. Texts are bytes, as they are (UTF-8 or not)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("_key").to_numpy()
-            for i, j, data, offsets in text_blocks(batch.column("text")):
+            for i, j, data, offsets in text_blocks(batch.column("text"), raw=True):
                 whole, ends = data.tobytes(), cuts(data, offsets, s)
                 n = np.array([len(e) for e in ends])
                 stop = np.array([x for e in ends for x in e], np.int64)
                 begin = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
                 own = np.repeat(np.arange(j - i), n)
                 digest = np.frombuffer(b"".join([hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), stop.tolist())]), "<i8").reshape(-1, 2)
-                ok = stop - begin >= s.low
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[i:j][own][ok], (begin - offsets[own])[ok].astype(np.int32), (stop - begin)[ok].astype(np.int32), digest[ok, 0], digest[ok, 1])], ["_key", "start", "size", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[i:j][own], (begin - offsets[own]).astype(np.int32), (stop - begin).astype(np.int32), digest[:, 0], digest[:, 1])], ["_key", "start", "size", "d1", "d2"])
 
     return bounded_batches(docs.select("_key", "text")).mapInArrow(run, "_key long, start int, size int, d1 long, d2 long")
 
 
 def repeated(pieces: DataFrame) -> DataFrame:
-    """_key, spans array<struct<start, stop>>: what to remove. Digests are counted before they meet the chunks again, with
-    partial sums, so that a chunk of a third of all documents is one row a task; the join splits its side if need be."""
-    first = pieces.groupBy("d1", "d2").agg(F.min(F.struct("_key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    again = pieces.join(first, ["d1", "d2"]).filter((F.col("_key") != F.col("first._key")) | (F.col("start") != F.col("first.start")))
-    return again.groupBy("_key").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("stop"))).alias("spans"))
+    """_key, spans array<struct<start, stop>>: what to remove.
+
+    Digests that occur twice are found by partial counts and minima and stored, so that a chunk of a third of all documents
+    is a row a task there; then all chunks are joined with them, a plain join, whose hot partitions can be split.
+    """
+    first = pieces.groupBy("d1", "d2").agg(F.min(F.struct("_key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = stored(first.select("d1", "d2", F.col("first._key").alias("k"), F.col("first.start").alias("at")), "chunk-first")
+    again = pieces.join(first, ["d1", "d2"]).filter((F.col("_key") != F.col("k")) | (F.col("start") != F.col("at")))
+    out = stored(again.groupBy("_key").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("stop"))).alias("spans")), "chunk-spans")
+    dropped(first)
+    return out
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -143,7 +148,7 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row a document of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept binary.
 
-    Null texts are empty; repeated ids (null ids too) are documents of their own, in the order of their texts; of equal
+    Null texts are empty; a text shorter than s.low is one chunk; repeated ids (null ids too) are documents of their own, in the order of their texts; of equal
     chunks the first by (doc_id, position) stays. Further columns are not read. An empty table gives no rows.
     """
     keyed = key_rows(docs.select("doc_id", "text"))
