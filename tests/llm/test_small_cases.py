@@ -242,7 +242,7 @@ def test_neighbours_are_found(spark):
     x[300:330] = x[300]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (701, [0.0] * 16), (702, [float("nan")] * 16), (703, [1.0]), (None, x[0].tolist()), (704, [None] * 16)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    small = multi_index.Settings(block_rows=64, query_rows=8)
+    small = multi_index.Settings(block_rows=64, least_block_rows=64)
     sims, hit, n = x.astype(float) @ x.astype(float).T, 0, 0
     for q, group in multi_index.neighbours(frame, 20, small).toPandas().groupby("query_id"):
         own = sims[q].copy()
@@ -254,6 +254,17 @@ def test_neighbours_are_found(spark):
     assert not multi_index.neighbours(frame.limit(0)).collect()
 
 
+def test_repeated_vec_ids_are_one_query_whatever_the_order(spark):
+    r = np.random.default_rng(7)
+    rows = [(i % 60, [float(x) for x in r.normal(size=8)]) for i in range(240)]
+    schema = "vec_id long, embedding array<float>"
+    got = [sorted(map(tuple, multi_index.neighbours(spark.createDataFrame(x, schema)).collect())) for x in (rows, rows[::-1])]
+    assert got[0] == got[1] and len(got[0]) == 60
+    first = np.float32(min(v for i, v in rows if i == 0)).astype(float)
+    best = sorted(((-float(np.float32(v).astype(float) @ first), i) for i, v in rows if i))[:20]
+    assert np.allclose([x[3] for x in got[0][:20]], [-x for x, _ in best])
+
+
 def test_walk_sees_the_nearest_cells():
     r = np.random.default_rng(1)
     one, two, counts = r.normal(size=7), r.normal(size=7), r.integers(0, 5, 49)
@@ -267,7 +278,7 @@ def test_walk_sees_the_nearest_cells():
 def brute_repeats(texts, length=100):
     seen, out = set(), []
     for t in texts:
-        b, covered = (t or "").encode(), None
+        b, covered = t if isinstance(t, bytes) else (t or "").encode(), None
         covered = np.zeros(len(b), bool)
         for p in range(len(b) - length + 1):
             if b[p : p + length] in seen:
@@ -286,6 +297,24 @@ def test_suffix_dedup_equals_brute_force(spark, docs, empty):
     assert not suffix_dedup.dedup(empty).collect()
 
 
+@pytest.mark.parametrize("set_bytes", [1500, 1 << 19])
+def test_suffix_dedup_of_hot_lines_and_any_bytes(spark, set_bytes):
+    from pyspark.sql import functions as F
+
+    line = prose(18, 77)  # about 110 bytes, in very many surroundings
+    rows = [(i, f"{prose(9, 100 + i)} {line if i % 3 else line[:97]} {prose(9, 500 + i % 50)}".encode()) for i in range(200)]
+    rows += [(200, b"\xff\xfe" + b"ab\xc3" * 60), (201, b"z" + b"ab\xc3" * 50 + b"\xff"), (202, BASE.encode() + b"\x80" + BASE.encode())]
+    docs = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "doc_id long, b binary").select("doc_id", F.col("b").cast("string").alias("text"))
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(docs, set_bytes).collect())
+    assert got == [(i, *x) for (i, _), x in zip(rows, brute_repeats([b for _, b in rows]))]
+    assert sum(r.n_removed for r in chunk_dedup.dedup(docs).collect()) > 0
+
+
+def test_chunk_dedup_of_short_copies(spark):
+    docs = spark.createDataFrame([(1, "Hi."), (2, "Hi."), (3, "Ho."), (4, ""), (5, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in chunk_dedup.dedup(docs).collect()) == [(1, 0, b"Hi."), (2, 3, b""), (3, 0, b"Ho."), (4, 0, b""), (5, 0, b"")]
+
+
 def test_suffix_array_and_gram_hashes():
     r = random.Random(0)
     for _ in range(200):
@@ -304,10 +333,9 @@ def test_chunk_dedup_equals_brute_force(docs, empty):
         ends = chunk_dedup.cuts(np.frombuffer(b, np.uint8), np.array([0, len(b)]), s)[0]
         spans, last = [], 0
         for e in ends:
-            if e - last >= s.low:
-                if b[last:e] in seen:
-                    spans.append((last, e))
-                seen.add(b[last:e])
+            if b[last:e] in seen:
+                spans.append((last, e))
+            seen.add(b[last:e])
             last = e
         assert last == len(b) and all(y - x <= s.high + s.low for x, y in zip([0, *ends], ends))
         runs = chunk_dedup.merged(np.array(spans).reshape(-1, 2))
@@ -355,14 +383,29 @@ def test_pipeline_stages(spark):
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < got.count() < n
 
 
-def test_joined_pre_tokens_get_the_library_ids():
-    import numpy as np
+@pytest.mark.parametrize("as_text", [False, True])
+def test_ids_are_the_unaltered_librarys(as_text):
     import pyarrow as pa
+    from tokenizers import Tokenizer
 
     from millrace.llm.common import text_blocks
-    from millrace.llm.sstable import library_cache
 
-    texts = ["a  b\u3000c 's 't don't ''s  \n\n x ", "\xa0\xa0z \u200b q \x1c a \x85c", "<|endoftext|> a<s>b", "", None, "x" * 3000 + " \u0301 \u00bd\u00b2 3x", " the the of" * 500]
-    tokenizer, cache = library_cache(public_tokenizers.path("byte_bpe_50k.json"))
-    got = [x for _, _, data, offsets in text_blocks(pa.array(texts)) for x, _ in cache.encode(data, offsets)]
-    assert got == [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a  b\u3000c 's 't don't ''s  \n\n x ", "\xa0\xa0z \u200b q \x1c a \x85c", "<|endoftext|> a<s>b", "a <|endoftext|> b", "", None, "x" * 3000 + " \u0301 \u00bd\u00b2 3x", " the the of" * 500, " <|endoftext|>" * 3]
+    library = Tokenizer.from_file(path)
+    if as_text:
+        library.encode_special_tokens = True
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    encoder = sstable.Encoder(path, as_text)
+    encoder.cache.most = 5  # generations change within the test
+    for _ in range(3):
+        got = [x.tolist() for _, _, data, offsets in text_blocks(pa.array(texts), 40) for x in encoder.encode(data, offsets)]
+        assert got == want
+    assert len(want[3]) == (10 if as_text else 5) - 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=300))
+def test_states_of_neighbours_equal_the_scan(kinds):
+    kinds = np.array(kinds, np.uint8)
+    assert bytebpe.states_of_neighbours(kinds).tolist() == bytebpe.states_before(kinds).tolist()
