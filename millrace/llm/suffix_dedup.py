@@ -221,7 +221,8 @@ def repeats(keyed: DataFrame, set_bytes: int = SET_BYTES) -> DataFrame:
         todo = first.join(varied, "anchor").select("anchor", "_key", "lo", "more", too_large.alias("hot"))
         held = near.join(todo, ["anchor", "_key", "lo", "more"]).select("anchor", "_key", "lo", "more", "hot", "body") if level else bodies(keyed, todo)
         held = stored(held, "suffix-held") if n_hot else held
-        found.append(stored(copies.unionByName(in_sets(held.filter("not hot"), -(-(total or 0) // set_bytes) or 1)), "suffix-found"))
+        found.append(stored(copies, "suffix-copies"))
+        found.append(stored(in_sets(held.filter("not hot"), -(-(total or 0) // set_bytes) or 1), "suffix-found"))
         hot = stored(held.filter("hot").select("_key", "lo", "body"), "suffix-hot") if n_hot else None
         dropped(near, first, varied, *([held] if n_hot else []))
         if hot is None:
