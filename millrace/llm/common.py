@@ -9,12 +9,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
 ARROW_ROWS = 500
+#: Bytes up to which a side of a join is broadcast.
+BROADCAST_BYTES = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +85,42 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def first_of_ids(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Of the rows (doc_id, text, ...) of a task the first of each doc_id, whole texts, up to most_bytes of text in all; a text
+    that would exceed it is left out. All batches are read."""
+    seen: set[int | None] = set()
+    left = most_bytes
+    for batch in batches:
+        take = []
+        for key, size in zip(batch.column("doc_id").to_pylist(), np.diff(text_bytes(batch.column("text"))[1]).tolist()):
+            take.append(key not in seen and size <= left)
+            if take[-1]:
+                seen.add(key)
+                left -= size
+        if any(take):
+            yield batch.filter(pa.array(take, pa.bool_()))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and _row, a struct of all other columns, so that none clashes with those that operators add."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others).alias("_row") if others else F.lit(0).alias("_row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that packed() was given, in their order."""
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_row").getField(c).alias(c) for c in columns))
+
+
+def small(df: DataFrame, width: int | Column = 16, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if its rows, of `width` bytes each (a number, or a column for rows of differing size), hold at most
+    most_bytes; beyond, a join shuffles both sides on the key. df should be cheap to read."""
+    if isinstance(width, int):
+        rows = most_bytes // width
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most_bytes else df
+
+
 def tasks_for(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
@@ -186,32 +224,48 @@ def code_points(data: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-_WORD_BYTE = np.zeros(256, bool)
-_WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_FOLD: np.ndarray | None = None
+
+
+def folded(points: np.ndarray) -> np.ndarray:
+    """Code points in lower case, where that is one code point."""
+    global _FOLD
+    if _FOLD is None:
+        low = [chr(i).lower() if not 0xD800 <= i < 0xE000 else chr(i) for i in range(0x10000)]
+        _FOLD = np.array([ord(x) if len(x) == 1 else i for i, x in enumerate(low)], np.uint32)
+    return np.where(points < 0x10000, _FOLD[np.minimum(points, 0xFFFF)], points)
+
+
 _INV = pow(_STEP, -1, 1 << 64)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, end byte, document) of each word of a block.
 
-    A word is a run of ASCII letters and digits and of any bytes above 127; ASCII case is folded. Words end at the end of
-    their document.
+    A word is a run of letters and numbers of any script, whatever their case. Words end at the end of their document.
     """
-    inside = _WORD_BYTE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets[(offsets > 0) & (offsets < len(data))]] = True
+    from millrace.llm.bytebpe import NUMBER, classes
+
+    points, heads = code_points(data), np.flatnonzero((data & 0xC0) != 0x80)
+    inside = classes().take(points) <= NUMBER
+    points = folded(points)
+    value = _BYTE.take(points & np.uint32(0xFF))
+    wide = np.flatnonzero(points > 127)
+    value[wide] = mix64(points[wide].astype(np.uint64) + np.uint64(_STEP))
+    firsts = np.searchsorted(heads, offsets)
+    edge = np.zeros(len(points) + 1, bool)
+    edge[firsts[(firsts > 0) & (firsts < len(points))]] = True
     before = np.concatenate([[False], inside])
     after = np.concatenate([inside, [False]])
     begins = np.flatnonzero(after & (~before | edge))
     ends = np.flatnonzero(before & (~after | edge))
-    n = len(data) + 1
+    n = len(points) + 1
     rise = _powers(_STEP, n)
     total = np.zeros(n, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * rise[:-1], out=total[1:])
+    np.cumsum(value * rise[:-1], out=total[1:])
     h = mix64((total[ends] - total[begins]) * _powers(_INV, n)[begins] + (ends - begins).astype(np.uint64))
-    return h, begins, ends, np.searchsorted(offsets, begins, "right") - 1
+    byte = np.append(heads, len(data))
+    return h, byte[begins], byte[ends], np.searchsorted(firsts, begins, "right") - 1
 
 
 _POWERS: dict[int, np.ndarray] = {}

@@ -3,15 +3,18 @@
 A document's k-mers are its five-word shingles, each labelled with its occurrence number in the document, so repeats
 count. A sketch takes the `picks` k-mers of smallest hash under its own random order and hashes them in the order in which
 they stand in the text: equal sketches mean shared k-mers in one order, which follows edit similarity, not set overlap.
-Copies of a text are collapsed to one representative first. Representatives with an equal sketch form a bucket; each is
-paired with the bucket's smallest, and those that turn out unlike it are tried again in finer buckets (of two equal
-sketches). Members of buckets that are still not connected are compared with all among them that share a rare k-mer, as
-every similar pair does. A pair is verified by aligning the two k-mer sequences within the band that the threshold allows:
-similarity is matched / (all - matched), matches being in order. Classes are the connected components of verified pairs.
-
-Groups stay small: bucket minima come from partial sums, every row meets one partner a bucket until the last step, which
-pairs different components by rare k-mers alone, joins can split a hot key, texts travel only for documents that are in a
-pair or in that step, and components are found by star contraction on the pairs alone.
+Copies of a text are collapsed to one representative first. Representatives with an equal sketch form a bucket, and each is
+paired with the bucket's smallest. A pair is verified by aligning the two k-mer sequences within the band that the threshold
+allows: similarity is matched / (all - matched), matches being in order. Classes are the connected components of verified
+pairs.
+
+Where a bucket is not one component by then, its members may be like others than the smallest. They are compared by rarest
+k-mers, without loss (see overlapping()), so every link between documents that share a sketch is met, or joins documents
+that are connected already.
+
+Groups stay small: bucket minima come from partial sums, every row meets one partner a bucket, joins can split a hot key,
+texts travel only for documents that are in a pair or in an open bucket, and components are found by star contraction on the
+pairs alone.
 """
 
 from __future__ import annotations
@@ -19,16 +22,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import bounded_batches, cut, key_rows, mix64, random_table, text_blocks, words
-from millrace.llm.decontaminate import small
+from millrace.llm.common import bounded_batches, cut, key_rows, mix64, packed, random_table, small, text_blocks, unpacked, words
 
 
 @dataclass(frozen=True)
@@ -158,45 +159,52 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings = Settings()) -> Dat
     return bounded_batches(pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")).mapInArrow(run, "a long, b long")
 
 
-def star(rows: DataFrame, s: Settings, *bucket: str) -> DataFrame:
-    """rows (bucket columns, _key, n) -> rows with a: the smallest _key of the bucket, where that is another one of a size
-    that can be similar."""
-    least = rows.groupBy(*bucket).agg(F.min(F.struct("_key", "n")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    near = F.least("n", "c.n") >= s.similarity * F.greatest("n", "c.n") - 1e-9
-    return rows.join(least, list(bucket)).filter(F.col("_key") != F.col("c._key")).withColumn("a", F.col("c._key")).withColumn("near", near).drop("c")
+def reaches(n: Column, rank: Column, m: Column, other: Column, similarity: float) -> Column:
+    """Whether documents of n and m k-mers can be similar if the first one they share, in a common order, is number `rank` of
+    the one and number `other` of the other: what is left of both must hold as many matches as similarity asks for."""
+    least = F.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
+    return (n - rank + 1 >= least) & (m - other + 1 >= least)
+
+
+def pairs_of(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def star(rows: DataFrame, s: Settings) -> DataFrame:
+    """rows (band, value, _key, n) -> distinct pairs (a, b): each _key and the smallest of its bucket, of sizes that can be
+    similar."""
+    one = F.lit(1)
+    least = cut(rows.groupBy("band", "value").agg(F.min(F.struct("_key", "n")).alias("c"), F.count(one).alias("size")).filter("size > 1").drop("size"))
+    near = rows.join(least, ["band", "value"]).filter((F.col("_key") != F.col("c._key")) & reaches(F.col("n"), one, F.col("c.n"), one, s.similarity))
+    return near.select(*pairs_of(F.col("_key"), F.col("c._key"))).distinct()
 
 
 def links(signed: DataFrame, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Verified pairs (a, b), a < b, of representatives, such that like members of a bucket are connected; signed: _key, n,
     sketches."""
     rows = signed.filter("n > 0").select("_key", "n", F.posexplode("sketches").alias("band", "value"))
-    met = cut(star(rows, s, "band", "value"))
-    tried = met.filter("near").select("a", F.col("_key").alias("b")).distinct()
+    tried = cut(star(rows, s))
     good = cut(verified(tried, docs, s))
-    # Those unlike their bucket's smallest may be like one another: they meet again where two sketches are equal.
-    unlike = met.join(good.withColumnRenamed("b", "_key"), ["a", "_key"], "left_anti").select("_key").distinct()
-    two = [F.xxhash64(F.lit(i), F.lit(j), F.col("sketches")[i], F.col("sketches")[j]) for i, j in combinations(range(s.sketches), 2)]
-    finer = signed.join(unlike, "_key", "left_semi").select("_key", "n", F.explode(F.array(*two)).alias("value"))
-    again = cut(star(finer, s, "value").filter("near").select("a", F.col("_key").alias("b")).distinct().join(good, ["a", "b"], "left_anti"))
-    if not again.isEmpty():
-        good, tried = good.unionByName(cut(verified(again, docs, s))), tried.unionByName(again)
-    # Buckets that aren't one component by now: their members are compared with all others that can be like them.
     rooted = rows.join(components(good).withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
-    open_ = rooted.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "value")
-    left = cut(rooted.join(open_, ["band", "value"], "left_semi").select("_key", "n", "root").distinct())
+    open_ = cut(rooted.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "value"))
+    left = cut(rooted.join(open_, ["band", "value"], "left_semi").select("_key", "n").distinct())
     if left.isEmpty():
         return good
-    rest = cut(overlapping(left, docs, s).join(tried, ["a", "b"], "left_anti"))
-    return good if rest.isEmpty() else good.unionByName(cut(verified(rest, docs, s)))
+    heads = rarest(left, docs, s)
+    for central in (True, False):
+        rooted = heads.join(components(good).withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
+        found = cut(overlapping(cut(rooted), s, central).join(tried, ["a", "b"], "left_anti"))
+        if not found.isEmpty():
+            good, tried = good.unionByName(cut(verified(found, docs, s))), tried.unionByName(found)
+    return good
 
 
-def overlapping(left: DataFrame, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Pairs (a, b), a < b, of left (_key, n, root) of different roots, among them all whose similarity reaches s's.
+def rarest(left: DataFrame, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """left (_key, n) -> _key, n, v, rank: its k-mers v, numbered from the rarest among left (ties by value), as far as a first
+    shared one can stand, without those that no other document has.
 
-    Similar documents share `similarity` of the k-mers of either, so with all k-mers in one order, rarest first, they share
-    one within the first n - ceil(similarity * n) + 1 of each (prefix filter). What a family has in common is not rare and
-    makes no pairs, unless it is more than `similarity` of a document.
-    """
+    Documents of n and m k-mers, n the larger, are similar only if they share `similarity` of the n; so the first shared one
+    is among the first n - ceil(similarity * n) + 1 of each (prefix filter)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,18 +213,34 @@ def overlapping(left: DataFrame, docs: DataFrame, s: Settings = Settings()) -> D
                 yield pa.RecordBatch.from_arrays([batch.column("_key").slice(i, j - i), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(labelled.view(np.int64)))], ["_key", "v"])
 
     texts = docs.select("_key", "text").join(small(left.select("_key")), "_key", "left_semi")
-    all_ = cut(bounded_batches(texts).mapInArrow(run, "_key long, v array<long>")).select("_key", F.explode("v").alias("v"))
-    common = all_.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    held = cut(bounded_batches(texts).mapInArrow(run, "_key long, v array<long>")).select("_key", F.size("v").alias("n"), F.explode("v").alias("v"))
+    common = cut(held.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))  # c is 1 for all others
     order = Window.partitionBy("_key").orderBy("c", "v")
     head = F.col("n") - F.ceil(s.similarity * F.col("n") - 1e-9) + 1
-    ranked = all_.join(common, "v").withColumn("rn", F.row_number().over(order)).filter("c > 1").join(left, "_key").filter(F.col("rn") <= head)
-    ranked = cut(ranked.select("_key", "n", "root", "v"))
-    mixed = ranked.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("v")
-    one = ranked.join(mixed, "v", "left_semi")
-    two = one.select("v", F.col("_key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    near = F.least("n", "m") >= s.similarity * F.greatest("n", "m") - 1e-9
-    met = one.withColumnRenamed("_key", "a").join(two, "v").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other")) & near)
-    return met.select("a", "b").distinct()
+    ranked = held.join(common, "v", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("rank", F.row_number().over(order))
+    return cut(ranked.filter((F.col("rank") <= head) & (F.col("c") > 1)).select("_key", "n", "v", "rank"))
+
+
+def overlapping(heads: DataFrame, s: Settings, central: bool) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of heads (rarest() with root) of different roots that share a k-mer v and can be similar,
+    by their sizes and the numbers of v in both.
+
+    central: pairs of each document and the one of v's in which v has the smallest number for its size. It has the least that
+    is its own, so whoever is like any of a family is likely like it; one partner a row. Else: all such pairs, among them
+    every similar pair of different roots. What a family has in common has high numbers, which leave too little behind them.
+    """
+    of = heads.groupBy("v").agg(F.min(F.struct((F.col("rank") / F.col("n")).alias("at"), "_key", "n", "rank", "root")).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    of = cut(of.filter("lo <> hi").select("v", F.col("c._key").alias("b"), F.col("c.n").alias("m"), F.col("c.rank").alias("other"), F.col("c.root").alias("far")))
+    one = heads.withColumnRenamed("_key", "a")
+    if central:
+        two, once = of, F.col("a") != F.col("b")
+    else:
+        one = cut(one.join(of.select("v"), "v", "left_semi"))
+        two, once = one.select("v", F.col("a").alias("b"), F.col("n").alias("m"), F.col("rank").alias("other"), F.col("root").alias("far")), F.col("a") < F.col("b")
+    can = reaches(F.col("n"), F.col("rank"), F.col("m"), F.col("other"), s.similarity)
+    one, two = one.alias("x"), two.alias("y")
+    met = one.join(two, (F.col("x.v") == F.col("y.v")) & once & (F.col("root") != F.col("far")) & can)
+    return met.select(*pairs_of(F.col("a"), F.col("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,7 +291,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The documents that are the first of their class, with the columns of docs."""
-    keyed = key_rows(docs)
+    """The documents that are the first of their class, with the columns of docs, whatever their names."""
+    keyed = key_rows(packed(docs))
     others = small(cut(classes(keyed.select("_key", "text"), s).filter("_key <> root").select("_key")))
-    return keyed.join(others, "_key", "left_anti").select(*docs.columns)
+    return unpacked(keyed.join(others, "_key", "left_anti"), docs.columns)

@@ -17,17 +17,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import bounded_batches, code_points, text_blocks
+from millrace.llm.common import bounded_batches, code_points, first_of_ids, folded, text_blocks
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_rows bounds the labelled rows a class that are fitted on; min_rows drops features rarer than it, min_ratio
-    those with a smaller log-count ratio."""
+    """sample_rows bounds the labelled rows a class that are fitted on, sample_bytes their texts in all; min_rows drops
+    features rarer than it, min_ratio those with a smaller log-count ratio."""
 
     orders: tuple[int, ...] = (3, 4, 5)
     bits: int = 18
     sample_rows: int = 1500
+    sample_bytes: int = 1 << 26
     min_rows: int = 3
     min_ratio: float = 0.4
     smoothing: float = 1.0
@@ -37,18 +38,6 @@ class Settings:
     threshold: float = 0.3
 
 
-_FOLD: np.ndarray | None = None
-
-
-def folded(points: np.ndarray) -> np.ndarray:
-    """Code points in lower case, where that is one code point."""
-    global _FOLD
-    if _FOLD is None:
-        low = [chr(i).lower() if not 0xD800 <= i < 0xE000 else chr(i) for i in range(0x10000)]
-        _FOLD = np.array([ord(x) if len(x) == 1 else i for i, x in enumerate(low)], np.uint32)
-    return np.where(points < 0x10000, _FOLD[np.minimum(points, 0xFFFF)], points)
-
-
 def features(data: np.ndarray, offsets: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
     """For each document of a block: its distinct hashed n-grams, in no order. Texts shorter than an n-gram have none."""
     heads = np.flatnonzero((data & 0xC0) != 0x80)
@@ -109,19 +98,19 @@ def length_norm(n: int) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """Fit on sample() of the labelled rows. The fit runs in one executor task; the driver gets one row with 2**s.bits
+    """Fit on sample() of the labelled rows, of a repeated doc_id on one of its texts. The fit runs in one executor task; the driver gets one row with 2**s.bits
     weights. Without labelled rows every score is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, y = [], []
-        for batch in batches:
+        for batch in first_of_ids(batches, s.sample_bytes):
             for _, _, data, offsets in text_blocks(batch.column("text")):
                 rows.extend(features(data, offsets, s))
             y.extend(batch.column("toxic").to_pylist())
         w, bias = fit(rows, np.array(y, float), s)
         yield pa.RecordBatch.from_pydict({"weights": [w.astype(np.float32).tobytes()], "bias": [float(bias)]})
 
-    got = bounded_batches(sample(docs, labels, s).select("text", "toxic").coalesce(1)).mapInArrow(run, "weights binary, bias double").collect()
+    got = bounded_batches(sample(docs, labels, s).coalesce(1)).mapInArrow(run, "weights binary, bias double").collect()
     return (np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"]) if got else (np.zeros(1 << s.bits, np.float32), -30.0)
 
 
