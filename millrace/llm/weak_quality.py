@@ -17,15 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import bounded_batches, text_blocks, words
+from millrace.llm.common import bounded_batches, first_of_ids, text_blocks, words
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_rows bounds the rows that the scorer is fitted on; min_rows drops words rarer than it there."""
+    """sample_rows bounds the rows that the scorer is fitted on, sample_bytes their texts in all; min_rows drops words rarer
+    than it there."""
 
     bits: int = 18
     sample_rows: int = 6000
+    sample_bytes: int = 1 << 26
     min_rows: int = 5
     rounds: int = 50
     epochs: int = 8
@@ -225,7 +227,7 @@ def _hashed(h: np.ndarray, first: np.ndarray, bits: int) -> Iterator[np.ndarray]
 def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     """Votes of all documents, EM over their counted patterns on the driver (at most 3 ** 10 rows), then the scorer.
 
-    The scorer learns from at most s.sample_rows documents, those of the smallest hash of doc_id; their identifiers are
+    The scorer learns from at most s.sample_rows documents, those of the smallest hash of doc_id (of a repeated one, one text); their identifiers are
     broadcast to the texts. It is fitted in one executor task.
     """
     voted = vote_table(docs)
@@ -236,7 +238,7 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, target = [], []
-        for batch in batches:
+        for batch in first_of_ids(batches, s.sample_bytes):
             for _, _, data, offsets in text_blocks(batch.column("text")):
                 shape, h, first = shapes(data, offsets)
                 rows.extend(zip(_hashed(h, first, s.bits), shape))
@@ -246,7 +248,7 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
         yield pa.RecordBatch.from_pydict({"w": [w.astype(np.float32).tobytes()], "u": [np.concatenate([u, centre, spread]).tobytes()], "bias": [float(bias)]})
 
     picked = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(s.sample_rows).drop("_h")
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text").coalesce(1)
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").coalesce(1)
     got = bounded_batches(texts).mapInArrow(run, "w binary, u binary, bias double").collect()
     n = len(SHAPES)
     u = np.frombuffer(got[0]["u"]) if got else np.concatenate([np.zeros(2 * n), np.ones(n)])
