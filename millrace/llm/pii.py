@@ -134,14 +134,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(found: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
-    """found with its spans replaced in the text by <KIND>; of spans that overlap the one that starts first stays (ties: the
-    longer). Texts without spans are left as they are."""
+    """found with its spans replaced in the text by <KIND>; of spans that overlap the union goes, under the name of the one
+    that starts first (ties: the longer). Texts without spans are left as they are."""
     body = F.col(text)
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["stop"]).alias("back"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
 
     def step(acc: Column, x: Column) -> Column:
         grown = F.struct(F.concat(acc["done"], F.array(F.substr(body, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))).alias("done"), x["stop"].alias("at"))
-        return F.when(x["start"] >= acc["at"], grown).otherwise(acc)
+        return F.when(x["start"] >= acc["at"], grown).otherwise(F.struct(acc["done"].alias("done"), F.greatest(acc["at"], x["stop"]).alias("at")))
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(0).alias("at"))
     end = lambda acc: F.concat(F.array_join(acc["done"], ""), F.substr(body, acc["at"] + 1))
