@@ -254,6 +254,60 @@ def test_neighbours_are_found(spark):
     assert not multi_index.neighbours(frame.limit(0)).collect()
 
 
+def templated(groups, common, shared, own, seed=0):
+    """Pairs of documents that are similar within a pair, in a family of which all share `common` words."""
+    template, rows = prose(common, seed).split(), []
+    for g in range(groups):
+        both = prose(shared, 10_000 * seed + 300 + 3 * g).split()
+        for k in (1, 2):
+            r = random.Random(1000 * seed + 2 * g + k)
+            at = r.randrange(len(template))
+            text = template[:at] + prose(own, 50_000 * (seed + 1) + 2 * g + k).split() + template[at:]
+            rows.append((len(rows), " ".join(text[:40] + both + text[40:])))
+    return rows
+
+
+def brute_classes(rows):
+    """The class of each row, by the alignment of all pairs."""
+    data = [np.frombuffer(t.encode(), np.uint8) for _, t in rows]
+    k = [order_minhash.kmers(d, np.array([0, len(d)]), 5)[0] for d in data]
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if order_minhash.aligned(k[b], k[a], 0.8)]
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return [rows[find(i)][0] for i in range(len(rows))], links
+
+
+def edited_family(n, seed):
+    """Copies of one text with one to six edits, so that many are only like some of the others."""
+    base, r, rows = prose(150, seed).split(), random.Random(seed), []
+    for i in range(n):
+        words = list(base)
+        for _ in range(r.randint(1, 6)):
+            words[r.randrange(len(words))] = r.choice(VOCABULARY)
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [templated(45, 300, 15, 30), templated(45, 200, 10, 22, 1), edited_family(120, 3), edited_family(90, 4) + [(1000 + i, t) for i, t in templated(15, 120, 8, 6, 2)]])
+def test_no_link_is_lost_in_families(spark, rows):
+    want, links = brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(links) > 10 and [got[i] for i, _ in rows] == want
+
+
+def test_words_of_any_script():
+    from millrace.llm.common import words
+
+    texts = ["Über über ÜBER", "漢字\u00a0漢字—漢字", "a\u2019b", "", "Ⅷ x"]
+    data = "".join(texts).encode()
+    h, begin, end, doc = words(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    assert [data[a:b].decode() for a, b in zip(begin, end)] == ["Über", "über", "ÜBER", "漢字", "漢字", "漢字", "a", "b", "Ⅷ", "x"]
+    assert len(set(h[:3])) == len(set(h[3:6])) == 1 and doc.tolist() == [0, 0, 0, 1, 1, 1, 2, 2, 4, 4]
+
+
 def test_repeated_vec_ids_are_one_query_whatever_the_order(spark):
     r = np.random.default_rng(7)
     rows = [(i % 60, [float(x) for x in r.normal(size=8)]) for i in range(240)]
