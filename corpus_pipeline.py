@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bytebpe, decontaminate, order_minhash, pii, toxicity
-from millrace.llm.common import scratch, table
+from millrace.llm.common import delete, packed, scratch, table, unpacked
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.3 or more go. The classifier learns from the labelled rows of docs."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return unpacked(toxicity.score(packed(docs), model).filter("predicted = 0"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts become <KIND>; n_chars follows the text."""
-    out = pii.redact(pii.find(docs, out="_pii"), spans="_pii").drop("_pii")
+    out = unpacked(pii.redact(pii.find(packed(docs), out="_pii"), spans="_pii"), docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -55,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents, each stage's result written as Parquet in the shared folder and read again."""
-    docs, at = table(spark, sf_dir, "documents"), scratch(spark, "pipeline")
+    """Apply STAGES to documents, each stage's result written as Parquet in the shared folder and read again; a result is
+    deleted once the next one is written. That of the stage before the last stays, as the returned rows are read from it."""
+    docs, at, before = table(spark, sf_dir, "documents"), scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            delete(spark, f"{at}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
