@@ -17,6 +17,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(numbers: Column, part: int = 64) -> Column:
+    """The sums of an array's elements up to each of them. Sums of parts come first, so that no element adds up all before;
+    elements are taken one by one, as slice() copies the whole array."""
+
+    def total(x: Column, low: Column, high: Column) -> Column:
+        return F.when(low > high, F.lit(0)).otherwise(F.aggregate(F.sequence(low, high), F.lit(0), lambda s, k: s + F.get(x, k)))
+
+    def of(x: Column) -> Column:
+        last = F.size(x) - 1
+        begin = lambda i: F.floor(i / part).cast("int") * part
+        sums = F.transform(F.sequence(F.lit(0), F.floor(last / part).cast("int")), lambda k: total(x, k * part, F.least((k + 1) * part - 1, last)))
+        before = lambda y: F.transform(y, lambda _, k: total(y, F.lit(0), k - 1))
+        return let(let(sums, before), lambda b: F.transform(x, lambda _, i: F.get(b, F.floor(i / part).cast("int")) + total(x, begin(i), i)))
+
+    return F.when(F.size(numbers) > 0, let(numbers.cast("array<int>"), of)).otherwise(F.when(numbers.isNotNull(), F.array().cast("array<int>")))
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """All matches of a text; none of a null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast(EMPTY))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions import text as t
 from millrace.operators.curate import STOP_WORDS
+from millrace.sources.storage import settled, small
 
 ALL_STOPS = sorted({w for ws in STOP_WORDS.values() for w in ws})
 
@@ -73,11 +74,36 @@ def renyi_efficiency(counts: DataFrame, alpha: float = 2.5) -> DataFrame:
     return own.select(F.round(F.when(F.col("types") > 1, F.greatest(F.least(F.col("h") / F.ln("types"), F.lit(1.0)), F.lit(0.0))).otherwise(0.0), 6).alias("renyi_efficiency"))
 
 
-def source_quota(docs: DataFrame, quota: int, dataset: str = "source") -> DataFrame:
-    """Documents of each source, in hash order, until their bytes reach the quota; the one that crosses it is in."""
-    w = Window.partitionBy(dataset).orderBy(F.sha2(F.col("doc_id").cast("string"), 256), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length("text").cast("long")
-    return docs.withColumn("before", F.coalesce(F.sum(size).over(w), F.lit(0))).filter(F.col("before") < quota)
+def quotas(total: int, weights: Mapping[str, float], sources: Sequence[str]) -> dict[str, int]:
+    """Each source's part of a total by weight (1 where none is given); sources of weight 0 or less have none."""
+    own = {s: weights.get(s, 1.0) for s in sources}
+    whole = sum(w for w in own.values() if w > 0)
+    return {s: int(total * w / whole) for s, w in own.items() if w > 0}
+
+
+def source_quota(docs: DataFrame, quota: int | Mapping[str, int], dataset: str = "source", of: str = "bytes") -> DataFrame:
+    """docs plus before: documents of each source, in hash order, until their bytes (of="docs": they themselves, one at least)
+    reach the quota; the one that crosses it is in. A mapping gives a quota for each source; sources without one go.
+
+    Sums by source and by the first three digits of the hash, at most 4,096 rows a source, tell which of these parts are
+    wanted; only their documents are shuffled, part by part.
+    """
+    key = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
+    size = (F.octet_length("text") if of == "bytes" else F.lit(1)).cast("long")
+    least = F.lit(1 if of == "docs" else 0)
+    if isinstance(quota, int):
+        most = F.greatest(F.lit(quota), least)
+    else:
+        most = F.greatest(F.coalesce(*(F.when(F.col(dataset) == k, F.lit(v)) for k, v in quota.items()), F.lit(-1)), least) if quota else F.lit(-1)
+        docs = docs.filter(F.col(dataset).isin(*quota))
+    rows = docs.withColumns({"_k": key, "_size": F.coalesce(size, F.lit(0))}).withColumn("_part", F.substring("_k", 1, 3))
+    parts = rows.groupBy(F.col(dataset).alias("_d"), "_part").agg(F.sum("_size").alias("_sum"))
+    earlier = Window.partitionBy("_d").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).select("_d", F.col("_part").alias("_p"), "_before")
+    met = rows.join(small(settled(wanted, "quota"), 64), F.col(dataset).eqNullSafe(F.col("_d")) & (F.col("_part") == F.col("_p"))).filter(F.col("_before") < most)
+    within = Window.partitionBy("_d", "_part").orderBy("_k", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    out = met.withColumn("before", F.col("_before") + F.coalesce(F.sum("_size").over(within), F.lit(0))).filter(F.col("before") < most)
+    return out.select(*docs.columns, "before")
 
 
 def holm(tests: DataFrame, family: str, p: str = "p") -> DataFrame:

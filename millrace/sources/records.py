@@ -7,8 +7,11 @@ have no index without a shuffle, <file stem>:<16 hex digits of the text's SHA-25
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,8 +68,7 @@ def read_jsonl(spark: SparkSession, path: str, source: str, domain: str = "", te
 
 def sentence_spans(sizes: Column) -> Column:
     """[start, end) of each sentence from the sentences' sizes."""
-    add = lambda a, n: F.concat(a, F.array(F.array(F.coalesce(F.element_at(F.try_element_at(a, F.lit(-1)), 2), F.lit(0)), F.coalesce(F.element_at(F.try_element_at(a, F.lit(-1)), 2), F.lit(0)) + n)))
-    return F.when(sizes.isNotNull(), F.aggregate(sizes, F.array().cast("array<array<int>>"), add))
+    return F.when(sizes.isNotNull(), t.let(t.running(sizes), lambda e: F.transform(e, lambda x, i: F.array(F.coalesce(F.get(e, i - 1), F.lit(0)), x))))
 
 
 def render_sentence(tokens: Column) -> Column:
@@ -183,6 +185,40 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
 # CoNLL-U
 
 
+def conllu_blocks(content: str) -> Iterator[tuple[dict[str, str], list[list[str]]]]:
+    """(new document id, sent_id, text as far as they are said; rows of tokens) of each block of a file."""
+    for block in re.split(r"\n\n+", content.replace("\r", "")):
+        said, rows = {}, []
+        for line in block.split("\n"):
+            if line.startswith("#"):
+                name, mark, value = line[1:].partition("=")
+                if mark and value.strip():
+                    said[name.strip()] = value.strip()
+            elif len(cells := line.split("\t")) >= 10 and not {"-", "."} & {*cells[0]}:
+                rows.append(cells)
+        yield said, rows
+
+
+def conllu_parts(content: str) -> Iterator[tuple[str | None, list[tuple[str | None, list[list[str]]]]]]:
+    """(identifier, sentences as (said text, rows)) of each document of a file; see conllu_documents()."""
+    held: list[tuple[str | None, list[list[str]]]] = []
+    named = prefix = None
+    marked = False
+    for said, rows in conllu_blocks(content):
+        new, (own, dot, _) = said.get("newdoc id"), said.get("sent_id", "").partition(".")
+        own = own if dot and own else None
+        if held and (new or not marked and own and prefix and own != prefix):
+            yield named or prefix, held
+            held, prefix = [], None
+        if new:
+            named, marked = new, True
+        if rows:
+            prefix = prefix or own
+            held.append((said.get("text"), rows))
+    if held:
+        yield named or prefix, held
+
+
 def conllu_documents(files: DataFrame, source: str, domain: str = "") -> DataFrame:
     """files (name, content: a whole file) -> documents plus tokens and sentences (spans in tokens).
 
@@ -190,22 +226,27 @@ def conllu_documents(files: DataFrame, source: str, domain: str = "") -> DataFra
     changes; else it is the file. Ranges (1-2) and empty nodes (1.1) and rows of under ten columns are skipped, as are
     blocks without tokens. A sentence's text is its `# text`, else its rendered tokens. Sentences are joined by newlines.
     """
-    block = F.regexp_replace(F.coalesce("content", F.lit("")), "\r", "")
-    rows = files.select("name", F.posexplode(F.split(block, r"\n\n+")).alias("i", "b"))
-    cells = F.filter(F.transform(F.split("b", "\n"), lambda x: F.split(x, "\t")), lambda c: (F.size(c) >= 10) & ~F.substring(F.get(c, F.lit(0)), 1, 1).isin("#") & ~F.get(c, F.lit(0)).rlike(r"[.-]"))
-    blank = lambda c, k: F.nullif(F.get(c, F.lit(k)), F.lit("_"))
-    token = lambda c: F.struct(F.get(c, F.lit(1)).alias("form"), blank(c, 2).alias("lemma"), blank(c, 3).alias("upos"), blank(c, 5).alias("feats"), (~F.contains(F.get(c, F.lit(9)), F.lit("SpaceAfter=No"))).alias("space_after"))
-    mark = lambda p: F.nullif(F.trim(F.regexp_extract("b", p, 1)), F.lit(""))
-    rows = rows.select("name", "i", F.transform(cells, token).alias("tokens"), mark(r"(?m)^# newdoc id = (.*)$").alias("new"), mark(r"(?m)^# sent_id = ([^.\n]+)\..*$").alias("pre"), mark(r"(?m)^# text = (.*)$").alias("said"))
-    rows = rows.filter((F.size("tokens") > 0) | F.col("new").isNotNull())
-    upto = Window.partitionBy("name").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("name").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("seen", F.last("new", True).over(upto)).withColumn("was", F.last("pre", True).over(before))
-    begins = F.col("new").isNotNull() | (F.col("seen").isNull() & F.col("pre").isNotNull() & F.col("was").isNotNull() & (F.col("pre") != F.col("was")))
-    rows = rows.withColumn("g", F.sum(begins.cast("int")).over(upto)).filter(F.size("tokens") > 0)
-    own = rows.groupBy("name", "g").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("said", render_sentence(F.col("tokens"))).alias("text"), "tokens"))).alias("s"), F.max("seen").alias("seen"), F.min("pre").alias("pre"))
-    own = own.select(F.coalesce("seen", "pre", stem(F.col("name"))).alias("doc_id"), F.array_join(F.col("s.text"), "\n").alias("text"), F.flatten(F.col("s.tokens")).alias("tokens"), sentence_spans(F.transform("s", lambda x: F.size(x["tokens"]))).alias("sentences"))
-    return documents(own, source, domain, "tokens", "sentences")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blank = lambda x: None if x == "_" else x
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                for doc_id, sentences in conllu_parts(content or ""):
+                    rows = [c for _, own in sentences for c in own]
+                    spaced = ["SpaceAfter=No" not in c[9] for c in rows]
+                    ends = np.cumsum([len(own) for _, own in sentences])
+                    texts = []
+                    for (said, own), end in zip(sentences, ends.tolist()):
+                        after = [*spaced[end - len(own) : end - 1], False]
+                        texts.append(said if said is not None else "".join(c[1] + " " * s for c, s in zip(own, after)))
+                    tokens = pa.StructArray.from_arrays([pa.array([c[1] for c in rows], pa.string()), *(pa.array([blank(c[k]) for c in rows], pa.string()) for k in (2, 3, 5)), pa.array(spaced, pa.bool_())], ["form", "lemma", "upos", "feats", "space_after"])
+                    bounds = pa.array(np.stack([ends - [len(own) for _, own in sentences], ends], 1).ravel().astype(np.int32))
+                    spans = pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * 2), bounds)
+                    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([doc_id], pa.string()), pa.array(["\n".join(texts)]), one(tokens), one(spans)], ["name", "doc_id", "text", "tokens", "sentences"])
+
+    found = files.select("name", "content").mapInArrow(run, f"name string, doc_id string, text string, tokens {TOKENS}, sentences array<array<int>>")
+    return documents(found.withColumn("doc_id", F.coalesce("doc_id", stem(F.col("name")))), source, domain, "tokens", "sentences")
 
 
 def read_conllu(spark: SparkSession, path: str, source: str, domain: str = "") -> DataFrame:

@@ -21,9 +21,28 @@ from millrace.functions import text as t
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new name in the folder that driver and executors share; in a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A new name in the folder that driver and executors share (spark.checkpoint.dir); where none is set, in a local one if
+    Spark runs in this process alone, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return f"{(base or '/tmp/checkpoints').rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, kind: str) -> DataFrame:
+    """df, written to the shared folder and read again."""
+    at = shared_folder(df.sparkSession, kind)
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
+def small(df: DataFrame, width: int | Column = 16, most_bytes: int = 1 << 25) -> DataFrame:
+    """df, to be broadcast if its rows, of `width` bytes each (a number, or a column), hold at most most_bytes; beyond, a join
+    shuffles both sides on the key. df should be cheap to read."""
+    if isinstance(width, int):
+        rows = most_bytes // width
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most_bytes else df
 
 
 def write_shards(docs: DataFrame, folder: str, rows: int = 0, by: str | None = None) -> None:
