@@ -47,17 +47,24 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """df, written to the shared folder and read again.
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as its rows need, at most as a shuffle has: small steps shall not write thousands of files."""
+    return df.coalesce(min(tasks_for(df.sparkSession), rows // 100_000 + 1))
 
-    Spark deletes the shuffle files of finished jobs once the driver has collected what refers to them; it is asked to, as
-    the next step fills the same disks. Results don't depend on it: what is read later is in the shared folder.
-    """
+
+def tidy(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished jobs once the driver has collected what refers to them. Ask it to, where the
+    next step fills the same disks. No result depends on it: what is read later is in the shared folder."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """df, written to the shared folder and read again; see tidy()."""
     spark, at = df.sparkSession, scratch(df.sparkSession, kind)
     df.write.parquet(at)
     del df
-    gc.collect()
-    spark._jvm.System.gc()
+    tidy(spark)
     return spark.read.parquet(at)
 
 

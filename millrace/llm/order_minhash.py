@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import bounded_batches, cut, key_rows, mix64, packed, random_table, small, text_blocks, unpacked, words
+from millrace.llm.common import bounded_batches, cut, few, key_rows, mix64, packed, random_table, small, text_blocks, tidy, unpacked, words
 
 
 @dataclass(frozen=True)
@@ -179,24 +179,28 @@ def star(rows: DataFrame, s: Settings) -> DataFrame:
     return near.select(*pairs_of(F.col("_key"), F.col("c._key"))).distinct()
 
 
-def links(signed: DataFrame, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Verified pairs (a, b), a < b, of representatives, such that like members of a bucket are connected; signed: _key, n,
-    sketches."""
+def linked(signed: DataFrame, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """node, root of the representatives that have verified pairs: the components that the links between like members of a
+    bucket make; signed: _key, n, sketches."""
+    spark = signed.sparkSession
     rows = signed.filter("n > 0").select("_key", "n", F.posexplode("sketches").alias("band", "value"))
     tried = cut(star(rows, s))
-    good = cut(verified(tried, docs, s))
-    rooted = rows.join(components(good).withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
+    tree = components(verified(tried, docs, s))
+    rooted = rows.join(tree.withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
     open_ = cut(rooted.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band", "value"))
     left = cut(rooted.join(open_, ["band", "value"], "left_semi").select("_key", "n").distinct())
     if left.isEmpty():
-        return good
+        return tree
+    tidy(spark)
     heads = rarest(left, docs, s)
     for central in (True, False):
-        rooted = heads.join(components(good).withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
+        tidy(spark)
+        rooted = heads.join(tree.withColumnRenamed("node", "_key"), "_key", "left").withColumn("root", F.coalesce("root", "_key"))
         found = cut(overlapping(cut(rooted), s, central).join(tried, ["a", "b"], "left_anti"))
         if not found.isEmpty():
-            good, tried = good.unionByName(cut(verified(found, docs, s))), tried.unionByName(found)
-    return good
+            tree = components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(found, docs, s)))
+            tried = tried.unionByName(found)
+    return tree
 
 
 def rarest(left: DataFrame, docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -252,14 +256,15 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     print_of = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = print_of(now)
+    now = few(now, before[0])
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = cut(large)
+        large = cut(few(large, before[0]))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small_star = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        now = cut(small_star.distinct())
+        now = cut(few(small_star.distinct(), before[0]))
         after = print_of(now)
         if after == before:
             break
@@ -271,7 +276,7 @@ def classes(keyed: DataFrame, s: Settings = Settings()) -> DataFrame:
     """keyed (_key, text) -> _key, root: the smallest _key of its class."""
     signed = cut(sketches(keyed, s))
     reps = cut(signed.groupBy("d1", "d2").agg(F.min(F.struct("_key", "n", "sketches")).alias("r")).select("d1", "d2", "r.*"))
-    tree = components(links(reps.drop("d1", "d2"), keyed, s))
+    tree = linked(reps.drop("d1", "d2"), keyed, s)
     rooted = reps.select("d1", "d2", F.col("_key").alias("rep")).join(tree.withColumnRenamed("node", "rep"), "rep", "left")
     return signed.select("_key", "d1", "d2").join(rooted, ["d1", "d2"]).select("_key", F.coalesce("root", "rep").alias("root"))
 
