@@ -291,7 +291,7 @@ def edited_family(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("rows", [templated(45, 300, 15, 30), templated(45, 200, 10, 22, 1), edited_family(120, 3), edited_family(90, 4) + [(1000 + i, t) for i, t in templated(15, 120, 8, 6, 2)]])
+@pytest.mark.parametrize("rows", [templated(45, 300, 15, 24), templated(45, 200, 10, 13, 1), edited_family(120, 3), edited_family(90, 4) + [(1000 + i, t) for i, t in templated(15, 120, 8, 5, 2)]])
 def test_no_link_is_lost_in_families(spark, rows):
     want, links = brute_classes(rows)
     got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
