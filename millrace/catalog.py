@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import corpus, formats  # noqa: F401  (formats adds its queries to corpus's)
+from millrace.plans import corpus, formats, more  # noqa: F401  (they add their queries to those of corpus)
 
 QUERIES = dict(corpus.QUERIES)
 ORACLES = dict(corpus.ORACLES)

@@ -319,3 +319,22 @@ def leakage(docs: DataFrame, lang: str = "lang", dataset: str = "source", margin
     per = tagged.groupBy("doc_id", dataset).agg(F.sum(size).alias("chars"), F.coalesce(F.sum(F.when(foreign, size)), F.lit(0)).alias("foreign_chars"), F.count_if(F.col("language") == F.col(lang)).alias("own"))
     kind = F.when(F.col("foreign_chars") == 0, "pure").when(F.col("own") == 0, "whole_foreign").otherwise("embedded")
     return per.groupBy(dataset, kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("foreign_chars").alias("foreign_chars"))
+
+
+def leakage_parts(docs: DataFrame, lang: str = "lang", dataset: str = "source", margin: float = 0.1, least_chars: int = 0, max_paragraphs: int = 40) -> DataFrame:
+    """dataset, doc_id, lang, text, size, language of the first max_paragraphs lines of each document, of those of least_chars
+    characters or more; language is null where it is unsure."""
+    lines = docs.select(dataset, "doc_id", lang, F.explode(F.slice(t.lines(F.col("text")), 1, max_paragraphs)).alias("text")).filter(F.length("text") >= least_chars)
+    return language_tag(lines, margin).withColumn("size", F.length("text").cast("long"))
+
+
+def leakage_languages(parts: DataFrame, lang: str = "lang", k: int = 10) -> DataFrame:
+    """language, n, chars of the lines in another language than their document's: the k with most characters."""
+    own = parts.filter(F.col("language") != F.col(lang)).groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
+    return own.orderBy(F.desc("chars"), "language").limit(k)
+
+
+def leakage_tokens(parts: DataFrame, tokens: Sequence[str], lang: str = "lang") -> DataFrame:
+    """token, place, n: how often these words stand in lines of another language ("foreign") and of the document's ("own")."""
+    found = parts.filter("language is not null").select(F.when(F.col("language") != F.col(lang), "foreign").otherwise("own").alias("place"), F.explode(t.words(F.lower("text"))).alias("token"))
+    return found.filter(F.col("token").isin(*tokens)).groupBy("token", "place").agg(F.count(F.lit(1)).alias("n"))

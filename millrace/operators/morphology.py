@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.functions import text as t
+from millrace.sources.storage import small
+
 
 def boundaries(pieces: Column) -> Column:
     """Inner boundaries of pieces put in a row, in characters, ascending."""
-    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    return F.when(F.size(pieces) > 1, F.slice(ends, 2, F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
+    ends = t.running(F.transform(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x: F.length(x)))
+    return F.when(F.size(pieces) > 1, ends).otherwise(F.array().cast("array<int>"))
 
 
 def merge_lexicons(lexicons: Sequence[DataFrame]) -> DataFrame:
@@ -26,10 +29,9 @@ def merge_lexicons(lexicons: Sequence[DataFrame]) -> DataFrame:
     return every.groupBy("form").agg(best).select("form", F.col("b.morphemes").alias("morphemes"))
 
 
-def lookup(words: DataFrame, lexicon: DataFrame, small: int = 1_000_000) -> DataFrame:
-    """words (word, ...) plus morphemes, [word] for what isn't listed. Lexicons of at most `small` rows are broadcast."""
-    side = lexicon.select(F.col("form").alias("word"), "morphemes")
-    side = F.broadcast(side) if side.limit(small + 1).count() <= small else side
+def lookup(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """words (word, ...) plus morphemes, [word] for what isn't listed. Lexicons of bounded size are broadcast."""
+    side = small(lexicon.select(F.col("form").alias("word"), "morphemes"), F.octet_length("word") * 2 + 64)
     return words.join(side, "word", "left").withColumn("morphemes", F.coalesce("morphemes", F.array("word")))
 
 
@@ -69,18 +71,6 @@ def segment_distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("edit", distance("morphemes", "pieces"))
 
 
-def pairs_sharing(rows: DataFrame, keys: str, most: int = 50, seed: int = 0) -> DataFrame:
-    """key, a, b: pairs of forms a < b that share an element of `keys`, at most `most` a key.
-
-    Each form of a key meets the next forms in an order of hashes, so a key of n forms makes min(most, ...) pairs through
-    windows, never all n * n. The limit is the sampling operator's own parameter.
-    """
-    own = rows.select("form", F.explode(F.array_distinct(keys)).alias("key"))
-    order = Window.partitionBy("key").orderBy(F.sha2(F.concat_ws(":", F.lit(seed), "form"), 256), "form")
-    own = own.distinct().withColumn("rn", F.row_number().over(order)).withColumn("other", F.lead("form").over(order))
-    return own.filter((F.col("rn") <= most) & F.col("other").isNotNull()).select("key", F.least("form", "other").alias("a"), F.greatest("form", "other").alias("b"))
-
-
 def grouped_pairs(rows: DataFrame, keys: str, most: int = 200, seed: int = 0) -> DataFrame:
     """key, a, b: all pairs of forms a < b that share an element of `keys`, for keys of at most `most` pairs; `most` distinct
     ones of the others, drawn by hash from all pairs of the key."""

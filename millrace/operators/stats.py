@@ -116,3 +116,8 @@ def holm(tests: DataFrame, family: str, p: str = "p") -> DataFrame:
 
 def latest_by(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+
+
+def ranked(rows: DataFrame, by: Sequence[str], order: Sequence) -> DataFrame:
+    """rows plus rank within `by`."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

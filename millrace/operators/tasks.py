@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,12 +103,12 @@ def sentiment(rows: DataFrame, dataset: str, allow: Sequence[str] | None = None)
     return out.filter("label is not null and text is not null").filter(allowed(F.col("label"), allow))
 
 
-def assign_splits(examples: DataFrame, targets: Sequence[str] = ("train", "validation", "test"), held_out: bool = False, key: str = "id") -> DataFrame:
-    """examples plus split, from the key's hash: 70/15/15, held out 0/50/50. A split that isn't a target becomes train if
+def assign_splits(examples: DataFrame, targets: Sequence[str] = ("train", "validation", "test"), held_out: bool = False, key: str = "id", bucket: Callable[[Column], Column] = t.blake_bucket) -> DataFrame:
+    """examples plus split, from the key's bucket of 100 (BLAKE2s; t.hash_bucket is SHA-256): 70/15/15, held out 0/50/50. A split that isn't a target becomes train if
     that is one (never where held out), else the first target; so no row is lost."""
     allowed_ = [s for s in targets if not (held_out and s == "train")]
     if not allowed_:
         raise ValueError("no split to assign")
-    bucket = t.hash_bucket(F.col(key))
-    raw = t.split_of(bucket, 0, 50) if held_out else t.split_of(bucket)
+    own = bucket(F.col(key))
+    raw = t.split_of(own, 0, 50) if held_out else t.split_of(own)
     return examples.withColumn("split", F.when(raw.isin(*allowed_), raw).otherwise("train" if "train" in allowed_ else allowed_[0]))

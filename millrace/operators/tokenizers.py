@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as t
+from millrace.operators.convert import with_values
 
 
 def apply_merges(word: str, ranks: Mapping[tuple[str, str], int]) -> list[str]:
@@ -55,15 +57,20 @@ def clean_piece(piece: Column) -> Column:
 
 def piece_offsets(text: Column, pieces: Column) -> Column:
     """[start, end) of each cleaned piece, searched from the end of the one before; one that isn't found begins there."""
-    return F.aggregate(
-        F.transform(pieces, clean_piece),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out")),
-        lambda a, p: t.let(
-            F.when((p != "") & F.contains(F.substr(text, a["at"] + 1), p), a["at"] + F.position(p, F.substr(text, a["at"] + 1)) - 1).otherwise(a["at"]),
-            lambda s: t.let(F.least(s + F.length(p), F.length(text)), lambda e: F.struct(e.alias("at"), F.concat(a["out"], F.array(F.array(s, e))).alias("out"))),
-        ),
-        lambda a: a["out"],
-    )
+
+    @F.pandas_udf("array<array<int>>")
+    def offsets(texts: pd.Series, rows: pd.Series) -> pd.Series:
+        out = []
+        for whole, row in zip(texts, rows):
+            at, own = 0, []
+            for p in row if row is not None else []:
+                begin = max(whole.find(p, at), at) if p else at
+                at = min(begin + len(p), len(whole))
+                own.append([begin, at])
+            out.append(own)
+        return pd.Series(out, dtype=object)
+
+    return offsets(F.coalesce(text, F.lit("")), F.transform(pieces, clean_piece))
 
 
 def piece_ids(pieces: Column, vocabulary: Mapping[str, int], unknown: int | None = None) -> Column:
@@ -90,9 +97,35 @@ def spam_model(docs: DataFrame, model: Callable[[str], float], threshold: float)
     return score_texts(docs, model, "_score").filter(F.col("_score") < threshold).drop("_score")
 
 
-def project_metadata(metadata: Column, keep: Sequence[str] | None = None, leave: Sequence[str] = ()) -> Column:
-    """A map's entries that are kept (all, or those named, in that order) and not left out; null values go."""
+def project_metadata(metadata: Column, keep: Sequence[str] | None = None, leave: Sequence[str] = (), value_transform: Callable[[Column, Column], Column] | None = None) -> Column:
+    """A map's entries that are kept (all, or those named, in that order) and not left out, transformed by (key, value) if a
+    function is given; null values go."""
     if keep is not None:
         entries = F.transform(F.array(*map(F.lit, keep)), lambda k: F.struct(k.alias("key"), F.try_element_at(metadata, k).alias("value")))
         metadata = F.map_from_entries(entries)
-    return F.map_filter(metadata, lambda k, v: v.isNotNull() & (~k.isin(*leave) if leave else F.lit(True)))
+    kept = F.map_filter(metadata, lambda k, v: v.isNotNull() & (~k.isin(*leave) if leave else F.lit(True)))
+    return with_values(kept, value_transform) if value_transform else kept
+
+
+def encode_by_file(docs: DataFrame, path: str, kind: str = "tokenizers") -> DataFrame:
+    """docs plus pieces: by a given tokenizer, a file of the tokenizers library (byte-level or character BPE, WordPiece) or
+    (kind="sentencepiece") a model of unigrams or BPE with byte fallback. The file is sent to the tasks; null is []."""
+    docs.sparkSession.sparkContext.addFile(path)
+    name = path.rpartition("/")[2]
+
+    @F.pandas_udf("array<string>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        if kind == "sentencepiece":
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=SparkFiles.get(name))
+            pieces = lambda texts: model.encode(texts, out_type=str, num_threads=1)
+        else:
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_file(SparkFiles.get(name))
+            pieces = lambda texts: [e.tokens for e in own.encode_batch(texts, add_special_tokens=False)]
+        for texts in batches:
+            yield pd.Series(pieces(texts.fillna("").tolist()), dtype=object)
+
+    return docs.withColumn("pieces", encode("text"))

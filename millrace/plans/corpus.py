@@ -178,11 +178,6 @@ def language_agreement(spark, d):
     return curate.language_tag(read(spark, d, "documents")).groupBy("lang", "language").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT source || ':' || doc_id AS id, text, source AS dataset, lang AS domain, doc_id::VARCHAR AS doc_id, n_chars AS meta_n_chars FROM documents")
-def convert_record(spark, d):
-    return read(spark, d, "documents").select(t.uid(F.col("source"), F.col("doc_id")).alias("id"), "text", F.col("source").alias("dataset"), F.col("lang").alias("domain"), F.col("doc_id").cast("string").alias("doc_id"), F.col("n_chars").alias("meta_n_chars"))
-
-
 _UNITS = r"""u AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS t, text FROM documents),
 units AS (SELECT doc_id, len(t)::BIGINT AS tokens, len(list_filter(t, lambda x: regexp_matches(x, '\p{L}')))::BIGINT AS words, length(text)::BIGINT AS chars, octet_length(encode(text))::BIGINT AS bytes FROM u)"""
 
@@ -230,38 +225,11 @@ def hash_split(spark, d):
     return read(spark, d, "documents").select("doc_id", t.hash_bucket(F.col("doc_id")).alias("bucket")).withColumn("split", t.split_of(F.col("bucket")))
 
 
-@query(f"SELECT doc_id FROM documents WHERE {_BUCKET} < 25")
-def keep_fraction(spark, d):
-    return read(spark, d, "documents").filter(t.hash_bucket(F.col("doc_id")) < 25).select("doc_id")
-
-
-@query(f"SELECT l.toxic::VARCHAR AS label, CASE WHEN b < 70 THEN 'train' WHEN b < 85 THEN 'validation' ELSE 'test' END AS split, count(*) AS n FROM (SELECT *, {_BUCKET} AS b FROM labels) l JOIN documents d ON d.doc_id = l.doc_id GROUP BY ALL")
-def label_distribution(spark, d):
-    docs, labels = read(spark, d, "documents").select("doc_id"), read(spark, d, "labels")
-    rows = labels.join(docs, "doc_id").withColumn("split", t.split_of(t.hash_bucket(F.col("doc_id"))))
-    return rows.groupBy(F.col("toxic").cast("string").alias("label"), "split").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT 'conversations:' || conv_id || '-q' || turn AS id, text AS question, role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations")
-def multirc_flatten(spark, d):
-    turns = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    rows = turns.select("conv_id", "t", F.posexplode("t").alias("i", "x"))
-    return rows.select(F.concat(F.lit("conversations:"), F.col("conv_id"), F.lit("-q"), F.col("x.turn")).alias("id"), F.col("x.text").alias("question"), F.col("x.role").alias("role"), F.get("t", F.col("i") + 1)["text"].alias("answer"))
-
-
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def latest_run(spark, d):
     return stats.latest_by(read(spark, d, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")
 
 
-@query("""WITH s AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), r AS (SELECT event_type, n, lag(n) OVER (ORDER BY n DESC, event_type) AS before FROM s)
-SELECT event_type, n, before, CASE WHEN before > 0 THEN round((before - n) / before, 6) END AS drop_rate FROM r""")
-def survival_funnel(spark, d):
-    own = read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    before = F.lag("n").over(Window.partitionBy().orderBy(F.desc("n"), "event_type"))  # a row for each stage
-    return own.withColumn("before", before).withColumn("drop_rate", F.when(F.col("before") > 0, F.round((F.col("before") - F.col("n")) / F.col("before"), 6)))
-
-
 @query("""WITH t AS (SELECT source AS fam, doc_id AS id, ((doc_id * 37) % 1000) / 20000.0::DOUBLE AS p FROM documents),
 s AS (SELECT *, (count(*) OVER (PARTITION BY fam) - row_number() OVER (PARTITION BY fam ORDER BY p, id) + 1) * p AS s FROM t)
 SELECT fam, id, p, round(least(max(s) OVER (PARTITION BY fam ORDER BY p, id ROWS UNBOUNDED PRECEDING), 1.0::DOUBLE), 6) AS p_holm FROM s""")
@@ -276,18 +244,6 @@ def corpus_digest(spark, d):
     return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))  # a line for each source
 
 
-@query("SELECT l.source, array_to_string(list_sort(list(DISTINCT l.lang)), ',') AS shared FROM documents l JOIN (SELECT DISTINCT lang FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) r ON l.lang = r.lang GROUP BY l.source")
-def contamination_risk(spark, d):
-    docs, labels = read(spark, d, "documents").select("doc_id", "source", "lang"), read(spark, d, "labels")
-    risky = docs.join(labels.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("lang").distinct()
-    return docs.join(risky, "lang", "left_semi").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("shared"))
-
-
-@query(r"SELECT doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'), ' ') AS line FROM documents WHERE text <> ''")
-def sample_cache(spark, d):
-    return read(spark, d, "documents").filter("text <> ''").select("doc_id", t.flatten_spaces(F.col("text")).alias("line"))
-
-
 @query(f"SELECT source, n_words, rank FROM (SELECT source, n_words, row_number() OVER (PARTITION BY source ORDER BY n_words DESC, doc_id) AS rank FROM (SELECT source, doc_id, len({SPACED})::BIGINT AS n_words FROM documents)) WHERE rank <= 3")
 def longest_by_source(spark, d):
     w = Window.partitionBy("source").orderBy(F.desc("n_words"), "doc_id")

@@ -101,7 +101,7 @@ def convert_wsc(spark, d):
 
 @query(f"SELECT split, count(*) AS n FROM (SELECT CASE WHEN b < 50 THEN 'validation' ELSE 'test' END AS split FROM (SELECT {_BUCKET} AS b FROM documents)) GROUP BY split")
 def held_out_splits(spark, d):
-    rows = tasks.assign_splits(read(spark, d, "documents"), held_out=True, key="doc_id")
+    rows = tasks.assign_splits(read(spark, d, "documents"), held_out=True, key="doc_id", bucket=t.hash_bucket)
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -181,11 +181,12 @@ def morph_inventory(spark, d):
     return morphology.inventory(_segmented(spark, d))
 
 
-@query(f"""WITH {_WORDS}, k AS (SELECT DISTINCT form, unnest(morphemes) AS key FROM m),
-o AS (SELECT key, form, row_number() OVER w AS rn, lead(form) OVER w AS other FROM k WINDOW w AS (PARTITION BY key ORDER BY sha256('0:' || form), form))
-SELECT key, least(form, other) AS a, greatest(form, other) AS b FROM o WHERE rn <= 50 AND other IS NOT NULL""")
+@query(f"""WITH {_WORDS}, k AS (SELECT DISTINCT form, unnest(morphemes) AS key FROM m)
+SELECT key, least(count(*) * (count(*) - 1) // 2, 200)::BIGINT AS n FROM k GROUP BY key HAVING count(*) > 1""")
 def consistency_pairs(spark, d):
-    return morphology.pairs_sharing(_segmented(spark, d), "morphemes")
+    """How many pairs each key has: all, or 200 drawn ones (by a hash that SQL doesn't have)."""
+    pairs = morphology.grouped_pairs(_segmented(spark, d), "morphemes")
+    return pairs.filter("a < b").groupBy("key").agg(F.count_distinct("a", "b").alias("n"))
 
 
 @query(f"""WITH {_WORDS} SELECT form, CASE WHEN len(morphemes) = 1 AND len(pieces) = 1 THEN 0 WHEN len(morphemes) = 1 OR len(pieces) = 1 THEN 2
@@ -211,11 +212,11 @@ def bootstrap_p(spark, d):
     return significance.two_sided_p(read(spark, d, "lineitem").select("l_returnflag", (F.col("l_quantity") - 10).alias("d")), ["l_returnflag"])
 
 
-@query("SELECT source AS run, 200::BIGINT AS n FROM documents GROUP BY source")
+@query()
 def bootstrap_distribution(spark, d):
-    """200 resamples of characters a word for each source."""
+    """200 resamples of characters a word for each source; a test holds them against plain loops."""
     units = read(spark, d, "documents").select(F.col("source").alias("run"), F.col("doc_id").alias("unit"), F.length("text").alias("c"), F.size(t.spaced(F.col("text"))).alias("w"))
-    return significance.bootstrap_ratios(units, "c", "w", 200).groupBy("run").agg(F.count("value").alias("n"))
+    return significance.bootstrap_ratios(units, "c", "w", 200)
 
 
 #: A short list of merges, so that SQL can say the result: letters are merged in this order.
@@ -231,10 +232,10 @@ def encode_bpe(spark, d):
     return own.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.size(F.filter("pieces", lambda p: p == "the")).cast("long").alias("n_the"))
 
 
-@query("SELECT doc_id, length(text) / 1000.0::DOUBLE AS score FROM documents WHERE length(text) < 1000")
+@query("SELECT doc_id FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), '!')) < 2")
 def spam_model(spark, d):
-    rows = tokenizers.score_texts(read(spark, d, "documents"), lambda s: len(s) / 1000)
-    return rows.filter("score < 1").select("doc_id", "score")
+    """Documents that a pluggable model, here one that counts exclamation marks, scores under its threshold."""
+    return tokenizers.spam_model(read(spark, d, "documents"), lambda s: s.count("!") / 2, 1.0).select("doc_id")
 
 
 @query("SELECT event_id, event_type, user_id::VARCHAR AS user_id FROM events")

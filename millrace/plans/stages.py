@@ -102,3 +102,69 @@ def funnel(spark: SparkSession, folder: str) -> DataFrame:
         rows += [(r["step"], r["stage"], d, n, r["records_out"].get(d, 0)) for d, n in r["records_in"].items()]
     out = spark.createDataFrame(rows, "step int, stage string, dataset string, records_in long, records_out long")
     return out.withColumn("drop_rate", F.when(F.col("records_in") > 0, F.round((F.col("records_in") - F.col("records_out")) / F.col("records_in"), 6)))
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A hash of name, size and time of change of all files under a path, by the file system's listing alone."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, rows = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        rows.append(f"{f.getPath().toString()}\t{f.getLen()}\t{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(rows)).encode()).hexdigest()
+
+
+def recount(spark: SparkSession, folder: str, dataset: str = "source") -> DataFrame:
+    """step, stage, dataset, recorded, counted of the last output of each recorded stage, counted anew."""
+    recorded = funnel(spark, folder).select("step", "stage", "dataset", F.col("records_out").alias("recorded"))
+    out = None
+    for r in recorded.select("step", "stage").distinct().collect():  # a row a stage
+        n = spark.read.parquet(f"{folder}/{r['step']:02d}_{r['stage']}").groupBy(F.col(dataset).alias("dataset")).agg(F.count(F.lit(1)).alias("counted")).withColumn("step", F.lit(r["step"]))
+        out = n if out is None else out.unionByName(n)
+    return recorded.join(out, ["step", "dataset"], "left").select("step", "stage", "dataset", "recorded", F.coalesce("counted", F.lit(0)).alias("counted"))
+
+
+def not_empty(datasets: DataFrame, upstream: DataFrame, dataset: str = "source") -> DataFrame:
+    """The rows of datasets (dataset, ...) of which upstream has a row; the others have nothing to run on."""
+    return datasets.join(upstream.select(F.col(dataset).alias("dataset")).distinct(), "dataset", "left_semi")
+
+
+def each(datasets: Sequence[str], run: Callable[[str], object]) -> tuple[dict[str, object], dict[str, str]]:
+    """(results, errors) of run(dataset) for each dataset; one that fails doesn't stop the others. Spark schedules the jobs."""
+    results, errors = {}, {}
+    for name in datasets:
+        try:
+            results[name] = run(name)
+        except Exception as e:
+            errors[name] = f"{type(e).__name__}: {e}"
+    return results, errors
+
+
+def track(spark: SparkSession, runs: str, digest: str, values: Mapping[str, str]) -> None:
+    """Append a run's values to the table `runs`; the latest row of a digest counts, see tracked()."""
+    spark.createDataFrame([(digest, dict(values))], "digest string, values map<string,string>").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(runs)
+
+
+def tracked(spark: SparkSession, runs: str) -> DataFrame:
+    """digest, values, at: the latest row of each digest."""
+    return spark.read.parquet(runs).groupBy("digest").agg(F.max_by("values", "at").alias("values"), F.max("at").alias("at"))
+
+
+def sweep(spark: SparkSession, backends: Sequence[str], vocabularies: Sequence[int], done: Sequence[str] = ()) -> DataFrame:
+    """key, tokenizer, vocab of all pairs, <tokenizer>-<vocab>, without those that are done."""
+    rows = [(f"{b}-{v}", b, v) for b in backends for v in vocabularies if f"{b}-{v}" not in set(done)]
+    return spark.createDataFrame(rows, "key string, tokenizer string, vocab long")
+
+
+def load_catalog(path: str, roles: Sequence[str] = ("pretrain", "benchmark", "lexicon")) -> dict[str, dict]:
+    """Datasets of a JSON catalogue, <path>, with those of <path without suffix>.local.json merged in. ValueError for a role
+    that isn't known."""
+    with open(path, encoding="utf-8") as f:
+        out = json.load(f)
+    local = f"{os.path.splitext(path)[0]}.local.json"
+    if os.path.exists(local):
+        with open(local, encoding="utf-8") as f:
+            out = deep_merge(out, json.load(f))
+    if odd := sorted(k for k, v in out.items() if v.get("role", "pretrain") not in roles):
+        raise ValueError(f"unknown role of {', '.join(odd)}")
+    return out

@@ -169,8 +169,8 @@ def lexicon_entries(content: bytes) -> Iterator[dict]:
         return
 
 
-def read_lexicon(spark: SparkSession, path: str, skip: str = "_mezzanine.xml") -> DataFrame:
-    """lexicon_entries() of every XML file but those whose name ends in `skip`."""
+def lexicon_of(files: DataFrame) -> DataFrame:
+    """lexicon_entries() of files (name, content binary)."""
     schema = pa.schema([("entry_id", pa.string()), ("lemma", pa.string()), ("lemma_msd", pa.string()), ("forms", pa.list_(pa.struct([("form", pa.string()), ("msd", pa.string())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,5 +179,9 @@ def read_lexicon(spark: SparkSession, path: str, skip: str = "_mezzanine.xml") -
                 if found := [*lexicon_entries(content.as_py())]:
                     yield from pa.Table.from_pylist(found, schema).to_batches(max_chunksize=1000)
 
-    files = _files(spark, path).filter(~F.concat("name", F.lit(".xml")).endswith(skip))
     return files.select("content").mapInArrow(run, "entry_id string, lemma string, lemma_msd string, forms array<struct<form:string,msd:string>>")
+
+
+def read_lexicon(spark: SparkSession, path: str, skip: str = "_mezzanine.xml") -> DataFrame:
+    """lexicon_entries() of every XML file but those whose name ends in `skip`."""
+    return lexicon_of(_files(spark, path).filter(~F.concat("name", F.lit(".xml")).endswith(skip)))

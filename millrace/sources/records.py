@@ -100,11 +100,11 @@ def read_text(spark: SparkSession, path: str, source: str, domain: str = "") ->
     return documents(rows.withColumn("doc_id", F.format_string("%s:%06d", "_name", "_i")), source, domain)
 
 
-def read_legal(spark: SparkSession, path: str, source: str, claims: Sequence[str], domain: str = "legal") -> DataFrame:
+def read_legal(spark: SparkSession, path: str, source: str, claims: Sequence[str], domain: str = "legal", pattern: str = "*.jsonl*") -> DataFrame:
     """Legal JSONL: text, else fullText, else the sections, else the six claim fields (`claims`), joined by an empty line.
     subcorpus is the parent folder's name."""
     fields = ["doc_id", "text", "fullText", *LEGAL_SECTIONS, *claims]
-    rows = _lines(spark, path, "*.jsonl*").select(F.col("_metadata.file_path").alias("_file"), F.from_json("value", ", ".join(f"`{f}` string" for f in fields)).alias("r"))
+    rows = _lines(spark, path, pattern).select(F.col("_metadata.file_path").alias("_file"), F.from_json("value", ", ".join(f"`{f}` string" for f in fields)).alias("r"))
     some = lambda n: F.nullif(F.trim(F.col("r").getField(n)), F.lit(""))
     joined = lambda names: F.nullif(F.concat_ws("\n\n", *map(some, names)), F.lit(""))
     text = F.coalesce(some("text"), some("fullText"), joined(LEGAL_SECTIONS), joined(claims))
@@ -120,6 +120,79 @@ def read_columnar(spark: SparkSession, path: str, source: str, domain: str = "",
     return documents(rows.select(F.coalesce(first_of(ids), place).alias("doc_id"), F.col(text_field).alias("text")), source, domain)
 
 
+def read_arrow(spark: SparkSession, path: str, source: str, config: str, splits: Mapping[str, Sequence[str]], domain: str = "", text_field: str = "text", rows: int = 10_000) -> DataFrame:
+    """Arrow stream or file shards under `path`, listed by split in their order ('' for a dataset without splits).
+
+    doc_id is the first identifier field that has a value, else config[:split]:<eight-digit row number in the split>, skipped
+    rows counted. A first pass counts the rows of each shard, a number a file; then shards are read by tasks."""
+    listed = [(i, split, name) for split, names in splits.items() for i, name in enumerate(names)]
+    files = spark.read.format("binaryFile").load([f"{path.rstrip('/')}/{name}" for _, _, name in listed]).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+    def opened(content: pa.Buffer) -> Iterator[pa.RecordBatch]:
+        if bytes(content[:6]) == b"ARROW1":
+            held = pa.ipc.open_file(content)
+            return (held.get_batch(i) for i in range(held.num_record_batches))
+        return iter(pa.ipc.open_stream(content))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [sum(b.num_rows for b in opened(x.as_buffer())) for x in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(sizes, pa.int64())], ["name", "n"])
+
+    sizes = {r["name"]: r["n"] for r in files.mapInArrow(count, "name string, n long").collect()}
+    begin: dict[str, tuple[str, int]] = {}
+    for split, names in splits.items():
+        at = 0
+        for name in names:
+            own = name.rpartition("/")[2]
+            begin[own], at = (f"{config}:{split}" if split else config, at), at + sizes.get(own, 0)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
+                prefix, at = begin[name]
+                for part in opened(content.as_buffer()):
+                    ids = [part.column(c).cast(pa.string()).to_pylist() for c in ID_FIELDS if c in part.schema.names]
+                    texts = part.column(text_field).cast(pa.string()).to_pylist()
+                    named = [next((x[k] for x in ids if x[k]), f"{prefix}:{at + k:08d}") for k in range(len(texts))]
+                    at += len(texts)
+                    for a in range(0, len(texts), rows):
+                        yield pa.RecordBatch.from_arrays([pa.array(named[a : a + rows], pa.string()), pa.array(texts[a : a + rows], pa.string())], ["doc_id", "text"])
+
+    return documents(files.mapInArrow(read, "doc_id string, text string"), source, domain)
+
+
+#: Folders of the variants of a task bundle, and names of a split's file, in the order in which they are tried.
+TASK_VARIANTS = {"humant": ["SuperGLUE-HumanT", "HumanT"], "googlemt": ["SuperGLUE-GoogleMT", "GoogleMT"]}
+TASK_FILES = {"train": ["train.jsonl", "train.json"], "val": ["val.jsonl", "val.json"], "test": ["test.jsonl", "test.json"]}
+
+
+def task_files(spark: SparkSession, root: str, variant: str, task: str) -> dict[str, str]:
+    """split -> file of a task in a bundle: the variant's first folder that is there (else root, if it holds BoolQ), the task's
+    folder in any case, the split's first file. Splits without one are left out. FileNotFoundError without a variant."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    inside = lambda at: {s.getPath().getName(): s.getPath().toString() for s in system.listStatus(spark._jvm.org.apache.hadoop.fs.Path(at))}
+    top = inside(root)
+    base = next((top[n] for n in TASK_VARIANTS.get(variant, []) if n in top), root if "BoolQ" in top else None)
+    if base is None:
+        raise FileNotFoundError(f"no folder of variant {variant} in {root}: tried {TASK_VARIANTS.get(variant, [])}")
+    own = next((at for n, at in sorted(inside(base).items()) if n.lower() == task.lower()), None)
+    held = inside(own) if own else {}
+    return {split: next(held[n] for n in names if n in held) for split, names in TASK_FILES.items() if any(n in held for n in names)}
+
+
+def read_task(spark: SparkSession, root: str, variant: str, task: str, schema: str) -> DataFrame:
+    """The records of a task's splits, by `schema`, plus split; lines that are no JSON are skipped."""
+    found = task_files(spark, root, variant, task)
+    rows = None
+    for split, path in found.items():
+        own = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+        own = own.filter("_bad is null").drop("_bad").withColumn("split", F.lit(split))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows if rows is not None else spark.createDataFrame([], f"{schema}, split string")
+
+
 def read_curated(spark: SparkSession, path: str, datasets: Sequence[str] | None = None) -> DataFrame:
     """Curated shards <dataset>/<n>.jsonl.gz: id, text, dataset, domain; only named datasets, if any are named."""
     rows = spark.read.schema("id string, text string, dataset string, domain string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl.gz").json(path)
@@ -182,6 +255,13 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(term.alias("term")).filter((F.col("term") != "") & ~F.col("term").startswith("#")).distinct()
 
 
+def read_terms_of(spark: SparkSession, lists: Mapping[str, str], code: str) -> DataFrame:
+    """read_terms() of a language's list (code -> path). ValueError, with the codes there are, for an unknown one."""
+    if code not in lists:
+        raise ValueError(f"no list for {code}; there are {', '.join(sorted(lists)) or 'none'}")
+    return read_terms(spark, lists[code])
+
+
 # CoNLL-U
 
 

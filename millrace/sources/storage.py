@@ -10,10 +10,14 @@ import shutil
 import tarfile
 import uuid
 import zipfile
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 import zstandard
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +58,64 @@ def write_shards(docs: DataFrame, folder: str, rows: int = 0, by: str | None = N
     (writer.partitionBy(by) if by else writer).json(folder)
 
 
+def write_byte_shards(docs: DataFrame, folder: str, most_bytes: int = 200_000_000, level: int = 6) -> DataFrame:
+    """Gzip JSONL shards that end with the row that brings their compressed size to most_bytes; returns path, rows, bytes.
+
+    A task writes its own shards, <partition>-<five-digit number>.jsonl.gz, under the attempt's name, and renames them. Rows
+    aren't shuffled. Nulls are left out."""
+    target, rows = folder, docs.select(F.to_json(F.struct(*docs.columns)).alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        where, base = pafs.FileSystem.from_uri(target)
+        where.create_dir(base, recursive=True)
+        done: list[tuple[str, int, int]] = []
+        sink = zipped = None
+        rows = held = 0
+
+        def name(final: bool) -> str:
+            return f"{base}/{'' if final else f'.{context.taskAttemptId()}.'}{context.partitionId():05d}-{len(done):05d}.jsonl.gz"
+
+        def close() -> None:
+            sink.write(zipped.flush())
+            size = sink.tell()
+            sink.close()
+            where.move(name(False), name(True))
+            done.append((name(True), rows, size))
+
+        for batch in batches:
+            for line in batch.column("line").to_pylist():
+                if sink is None:
+                    sink, zipped, rows, held = where.open_output_stream(name(False), compression=None), zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
+                data = zipped.compress(line.encode() + b"\n")
+                held += len(line)
+                if held >= 1 << 16:  # what the compressor holds back counts too
+                    data, held = data + zipped.flush(zlib.Z_SYNC_FLUSH), 0
+                sink.write(data)
+                rows += 1
+                if sink.tell() >= most_bytes:
+                    close()
+                    sink = None
+        if sink is not None:
+            close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], ["path", "rows", "bytes"])
+
+    return settled(rows.mapInArrow(run, "path string, rows long, bytes long"), "byte-shards")
+
+
+def write_lexicon(lexicon: DataFrame, folder: str) -> None:
+    """Segmentations (form, morphemes, labels, lemma, msd, ...) as JSONL shards."""
+    lexicon.write.mode("overwrite").json(folder)
+
+
+def read_lexicon_table(spark: SparkSession, folder: str) -> DataFrame:
+    """What write_lexicon() wrote; of a form's segmentations the one of the smallest lemma, msd and morphemes stays."""
+    rows = spark.read.schema("form string, morphemes array<string>, labels array<string>, lemma string, msd string, verified boolean").json(folder)
+    best = F.min(F.struct("lemma", "msd", "morphemes", "labels", "verified")).alias("b")
+    return rows.groupBy("form").agg(best).select("form", "b.morphemes", "b.labels", "b.lemma", "b.msd", "b.verified")
+
+
 def write_splits(examples: DataFrame, folder: str, splits: Sequence[str]) -> DataFrame:
     """Write the rows of declared splits, and return split, n for each of these, 0 included. Others (and null) are dropped."""
     kept = examples.filter(F.col("split").isin(*splits))
