@@ -291,7 +291,7 @@ def edited_family(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("rows", [templated(45, 300, 15, 24), templated(45, 200, 10, 13, 1), edited_family(120, 3), edited_family(90, 4) + [(1000 + i, t) for i, t in templated(15, 120, 8, 5, 2)]])
+@pytest.mark.parametrize("rows", [templated(45, 300, 15, 24), edited_family(110, 3) + [(1000 + i, t) for i, t in templated(30, 200, 10, 13, 1)]])
 def test_no_link_is_lost_in_families(spark, rows):
     want, links = brute_classes(rows)
     got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -437,6 +437,107 @@ def test_pipeline_stages(spark):
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < got.count() < n
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark, docs):
+    """Nulls, empty and repeated rows, an empty table, and columns that are named as the operators name their own."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.001"
+    odd = docs.select("doc_id", "text", F.lit("x").alias("score"), F.lit("y").alias("predicted"), F.lit("z").alias("_key"), F.lit("p").alias("_pii"), F.lit("q").alias("a.b"), F.lit("r").alias("_row"))
+    texts = sorted({t or "" for _, t in ROWS if t is not EDITED})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, d).collect()
+        assert got[0].__fields__ == odd.columns and {tuple(r)[2:] for r in got} == {("x", "y", "z", "p", "q", "r")}
+        kept = sorted({r.text or "" for r in got if r.text != EDITED})
+        assert len(got) == (len(texts) if name == "near_duplicates" else len(ROWS)) and kept == texts
+        assert not stage(spark, odd.limit(0), d).collect()
+    last = corpus_pipeline.STAGES[-1][1](spark, odd, d).collect()
+    assert len(last) == len(ROWS) and sum(r.n_tokens == 0 for r in last) == 2
+
+
+def test_texts_longer_than_a_block(spark):
+    """A text of two megabytes among short ones, through every operator that works on blocks."""
+    from millrace.llm.common import BLOCK_BYTES
+
+    long = " ".join(f"{w}{i}" for i, w in enumerate(prose(300_000, 21).split()))
+    rows = [(1, "short one here"), (2, long), (3, long[: len(long) // 2]), (4, None)]
+    assert len(long) > BLOCK_BYTES
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    half = len(long) // 2
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup(docs).collect()} == {1: 0, 2: 0, 3: half, 4: 0}
+    cut = {r.doc_id: r.n_removed for r in chunk_dedup.dedup(docs).collect()}
+    assert cut[1] == cut[2] == cut[4] == 0 and half - 2048 < cut[3] <= half
+    sha = hashlib.sha256(long.encode()).hexdigest()
+    assert {r.doc_id: r.decoded_sha256 for r in bytebpe.digests(bytebpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))).collect()}[2] == sha
+
+
+def test_em_equals_the_plain_one():
+    """The EM over counted patterns against one over documents, and the accuracies of simulated labellers."""
+    r, k = np.random.default_rng(3), len(weak_quality.LABELLERS)
+    good, right = r.random(4000) < 0.7, np.linspace(0.65, 0.95, k)
+    v = np.where(r.random((4000, k)) < 0.25, weak_quality.ABSTAIN, np.where(r.random((4000, k)) < right, good[:, None], ~good[:, None]).astype(int))
+    pattern, place, count = np.unique(weak_quality.patterns(v.astype(np.int8)), return_inverse=True, return_counts=True)
+    post, theta, prior = weak_quality.expectation_maximisation(pattern, count, 30)
+    votes = [[int(x) for x in row] for row in v]
+    own = []
+    for row in votes:
+        g, b = row.count(1), row.count(0)
+        own.append(min(max((g + 1) / (g + 3 * b + 2), 0.05), 0.95))
+    for _ in range(30):
+        told = [(p, row) for p, row in zip(own, votes) if set(row) != {2}]
+        share = min(max(sum(p for p, _ in told) / len(told), 0.05), 0.95)
+        table = {(c, j): [1 + sum((p if c else 1 - p) for p, row in told if row[j] == x) for x in range(3)] for c in (0, 1) for j in range(k)}
+        own = []
+        for row in votes:
+            odds = share / (1 - share)
+            for j, x in enumerate(row):
+                odds *= table[1, j][x] / sum(table[1, j]) / (table[0, j][x] / sum(table[0, j]))
+            own.append(odds / (1 + odds))
+    assert np.allclose(post[place], own, atol=1e-6) and abs(prior - 0.7) < 0.05
+    assert np.mean((post[place] > 0.5) == good) > 0.95
+    said = theta[1, :, weak_quality.GOOD] / (1 - theta[1, :, weak_quality.ABSTAIN])
+    assert np.abs(said - right).max() < 0.06
+
+
+def test_toxicity_fit_against_a_plain_one():
+    """Weights have the sign of the log-count ratios, and rank held-out rows as a plain batch logistic regression does."""
+    s, r = toxicity.Settings(bits=10, min_rows=2, min_ratio=0.0), np.random.default_rng(4)
+    y = (r.random(600) < 0.3).astype(float)
+    tilt = r.normal(size=200)
+    rows = [np.flatnonzero(r.random(200) < 1 / (1 + np.exp(1.5 - tilt * (2 * t - 1)))).astype(np.int32) for t in y]
+    w, bias = toxicity.fit(rows[:400], y[:400], s)
+    x = np.zeros((600, 200))
+    for i, row in enumerate(rows):
+        x[i, row] = toxicity.length_norm(len(row))
+    n1, n0 = y[:400].sum(), 400 - y[:400].sum()
+    on = [[sum(j in set(rows[i].tolist()) for i in range(400) if y[i] == t) for j in range(200)] for t in (1, 0)]
+    ratio = np.log((np.array(on[0]) + 1) / (n1 + 2)) - np.log((np.array(on[1]) + 1) / (n0 + 2))
+    z, worth = x[:400] * ratio, np.where(y[:400] > 0, 200 / n1, 200 / n0)
+    v, b = np.ones(200), 0.0
+    for _ in range(3000):
+        error = (1 / (1 + np.exp(-np.clip(z @ v + b, -30, 30))) - y[:400]) * worth
+        v, b = v - 0.5 * (z.T @ error / 400 + s.l2 * v), b - 0.5 * error.mean()
+    plain, own = x[400:] * ratio @ v + b, x[400:] @ w[:200] + bias
+    right = lambda score: np.mean([a > c for a in score[y[400:] == 1] for c in score[y[400:] == 0]])
+    strong = np.abs(ratio) > 0.5
+    assert np.mean(np.sign(w[:200][strong]) == np.sign(ratio[strong])) > 0.95
+    assert right(own) > 0.9 and abs(right(own) - right(plain)) < 0.03 and np.corrcoef(own, plain)[0, 1] > 0.9
+
+
+def test_short_items_are_found(spark):
+    bench = spark.createDataFrame([(1, "what is entropy"), (2, "Yes"), (3, "one two three four five six"), (4, "..."), (5, None)], "item_id long, text string")
+    docs = key_rows(spark.createDataFrame([(1, "So what IS entropy, then?"), (2, "entropy is what"), (3, "yes yes"), (4, "zero one two three four five six"), (5, None)], "doc_id long, text string"))
+    got = sorted((r.doc_id, r.item_id, r.n_shingles) for r in decontaminate.contained(docs, bench).collect())
+    assert got == [(1, 1, 1), (3, 2, 1), (4, 3, 2)]
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs.drop("_key"), bench).collect()) == [2, 3, 5]
+
+
+def test_redaction_of_overlapping_spans(spark):
+    docs = spark.createDataFrame([(1, "+1 555 123 4567.bob@x.com end")], "doc_id long, text string")
+    assert pii.redact(pii.find(docs)).first().text == "<PHONE> end"
+
+
 @pytest.mark.parametrize("as_text", [False, True])
 def test_ids_are_the_unaltered_librarys(as_text):
     import pyarrow as pa
