@@ -63,7 +63,7 @@ def test_morphology(spark):
 
 def test_hot_key_makes_few_pairs(spark):
     rows = spark.range(2000).select(F.col("id").cast("string").alias("form"), F.array(F.lit("k")).alias("m"))
-    assert morphology.pairs_sharing(rows, "m", 50).count() == 50
+    assert morphology.grouped_pairs(rows, "m", 50).count() == 50
 
 
 def test_small_keys_give_all_pairs_and_large_ones_200(spark):
