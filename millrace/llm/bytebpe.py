@@ -38,7 +38,7 @@ def classes() -> np.ndarray:
     global _CLASS
     if _CLASS is None:
         out = np.full(0x110000, OTHER, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        every = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
         for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
             for m in regex.finditer(pattern, every):
                 a, b = (x + 0x800 * (x >= 0xD800) for x in (m.start(), m.end() - 1))

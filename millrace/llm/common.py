@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 ARROW_ROWS = 500
 #: Bytes up to which a side of a join is broadcast.
 BROADCAST_BYTES = 1 << 25
@@ -269,7 +269,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(points) + 1
     rise = _powers(_STEP, n)
     total = np.zeros(n, np.uint64)
-    np.cumsum(value * rise[:-1], out=total[1:])
+    value *= rise[:-1]
+    np.cumsum(value, out=total[1:])
     h = mix64((total[ends] - total[begins]) * _powers(_INV, n)[begins] + (ends - begins).astype(np.uint64))
     byte = np.append(heads, len(data))
     return h, byte[begins], byte[ends], np.searchsorted(firsts, begins, "right") - 1
@@ -287,6 +288,6 @@ def _powers(base: int, n: int) -> np.ndarray:
         more = min(size, len(out) - size)
         out[size : size + more] = out[:more] * np.uint64(pow(base, size, 1 << 64))
         size += more
-    if len(out) <= 16 * BLOCK_BYTES:
+    if len(out) == BLOCK_BYTES + 1:  # those of a longer text are not kept
         _POWERS[base] = out
     return out[:n]
