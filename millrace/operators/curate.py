@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as t
 from millrace.sources.storage import settled, small
 
-#: As functions.text.WORD, for Python.
-WORD = regex.compile(t.WORD)
+#: As functions.text.WORD, for Python (up to the version of Unicode).
+WORD = re.compile(r"\w+")
 #: Own short lists; a run brings its own as parameters.
 STOP_WORDS = {
     "en": "the of and to in that is for with it as was on are be this have not by from at or which but were an they their has will".split(),
@@ -112,7 +112,7 @@ def ngram_ratios(words_of: Column, ns: Sequence[int]) -> Column:
         word, known = pd.factorize(np.array(flat, object)) if flat else (np.zeros(0, np.int64), [])
         chars = np.bincount(doc, length, len(held))
         upto = np.concatenate([[0], np.cumsum(length)])
-        code, out = pd.factorize(doc * (len(known) + 1) + word)[0], {}
+        code, out = doc * (len(known) + 1) + word, {}
         for n in range(2, ns[-1] + 1):
             m = max(len(word) - n + 1, 0)
             code = pd.factorize(code[:m] * (len(known) + 1) + word[n - 1 :])[0]
@@ -122,8 +122,10 @@ def ngram_ratios(words_of: Column, ns: Sequence[int]) -> Column:
             kinds, first, count = np.unique(code[inside], return_index=True, return_counts=True)
             at = inside[first]
             weight, own = upto[at + n] - upto[at], doc[at]
-            top = np.zeros(len(held))
-            np.maximum.at(top, own, count * weight)
+            top, order = np.zeros(len(held)), np.argsort(own, kind="stable")
+            begins = np.flatnonzero(np.diff(own[order], prepend=-1))
+            if len(begins):
+                top[own[order][begins]] = np.maximum.reduceat((count * weight)[order], begins)
             some = size >= n
             for kind, value in (("top", top), ("dup", np.bincount(own, (count - 1) * weight, len(held)))):
                 out[f"{kind}_{n}"] = np.divide(value, chars, out=np.full(len(held), np.nan), where=some)
