@@ -26,7 +26,7 @@ from millrace.llm.common import cut
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_rows bounds the fit, block_rows a block; codebooks have about sqrt(rows / cell_rows) centroids, at most
+    """sample_rows bounds the fit, block_rows a block, of which a query is given its k best rows; codebooks have about sqrt(rows / cell_rows) centroids, at most
     `centroids`, so that cells hold cell_rows rows on average as long as they can be listed on the driver."""
 
     centroids: int = 512
@@ -37,7 +37,6 @@ class Settings:
     recall: float = 0.95
     k: int = 20
     block_rows: int = 16_384
-    least_block_rows: int = 1_024
 
 
 @dataclass
@@ -126,7 +125,7 @@ def build(embeddings: DataFrame, s: Settings = Settings()) -> Index | None:
         return None
     dim, total = sizes[0]["d"], sizes[0]["count"]
     k = min(s.centroids, max(8, int((total / s.cell_rows) ** 0.5)))
-    block_rows = min(s.block_rows, max(s.least_block_rows, total // 256))
+    block_rows = s.block_rows
     rows = rows.filter(F.size("vec") == dim)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
