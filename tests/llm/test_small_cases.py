@@ -242,7 +242,7 @@ def test_neighbours_are_found(spark):
     x[300:330] = x[300]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(700, None), (701, [0.0] * 16), (702, [float("nan")] * 16), (703, [1.0]), (None, x[0].tolist()), (704, [None] * 16)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    small = multi_index.Settings(block_rows=64, least_block_rows=64)
+    small = multi_index.Settings(block_rows=64)
     sims, hit, n = x.astype(float) @ x.astype(float).T, 0, 0
     for q, group in multi_index.neighbours(frame, 20, small).toPandas().groupby("query_id"):
         own = sims[q].copy()
