@@ -2,7 +2,8 @@
 
 A cut follows a byte where the gear hash of the last 32 bytes, sum of GEAR[byte] << age, has its top bits zero. Where a
 text is cut depends on nearby bytes alone, so an insertion moves no cut but those beside it. Of chunks of equal digest the
-first by (document, position) stays, the others are removed.
+first by (document, position) stays, the others are removed, where repeated chunks in a row make up `least` bytes or the
+whole document: a few words that two texts happen to share aren't a repeated passage.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from millrace.llm.common import bounded_batches, dropped, key_rows, random_table
 
 @dataclass(frozen=True)
 class Settings:
-    """Bytes: no chunk but a document's only one is shorter than low; low + 2**bits is the mean; high is a forced cut."""
+    """Bytes: no chunk but a document's only one is shorter than low; low + 2**bits is the mean; high is a forced cut; least
+    is the shortest run of repeated chunks that is removed from a document that isn't all repeated."""
 
     low: int = 24
     bits: int = 4
     high: int = 1024
+    least: int = 64
 
 
 GEAR = (random_table(256, 1234) >> np.uint64(32)).astype(np.uint32)
@@ -123,9 +126,9 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], top[np.append(new[1:], len(spans)) - 1]], 1)
 
 
-def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def remove(docs: DataFrame, spans: DataFrame, least: int = 0) -> DataFrame:
     """docs (_key, doc_id, text) without the bytes of spans (_key, spans array<struct<start, stop>>): doc_id, n_bytes,
-    n_removed, n_spans, kept binary."""
+    n_removed, n_spans, kept binary. Runs of under `least` bytes stay, but for one that is the whole document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +138,7 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
             for d, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
                 got = spans[d].values
                 runs = merged(np.stack([got.field(0).to_numpy(), got.field(1).to_numpy()], 1)) if got is not None else np.zeros((0, 2), int)
+                runs = runs[(runs[:, 1] - runs[:, 0] >= least) | (runs[:, 1] - runs[:, 0] == b - a)]
                 edge = [0, *runs.ravel().tolist(), b - a]
                 whole = data[a:b].tobytes()
                 rows.append((b - a, int((runs[:, 1] - runs[:, 0]).sum()), len(runs), b"".join([whole[x:y] for x, y in zip(edge[::2], edge[1::2])])))
@@ -152,4 +156,4 @@ def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     chunks the first by (doc_id, position) stays. Further columns are not read. An empty table gives no rows.
     """
     keyed = key_rows(docs.select("doc_id", "text"))
-    return remove(keyed, repeated(chunks(keyed, s)))
+    return remove(keyed, repeated(chunks(keyed, s)), s.least)

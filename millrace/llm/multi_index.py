@@ -26,8 +26,9 @@ from millrace.llm.common import cut
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_rows bounds the fit, block_rows a block, of which a query is given its k best rows; codebooks have about sqrt(rows / cell_rows) centroids, at most
-    `centroids`, so that cells hold cell_rows rows on average as long as they can be listed on the driver."""
+    """sample_rows bounds the fit, block_rows a block, of which a query is given its k best rows. Codebooks have about
+    sqrt(rows / cell_rows) centroids, at most `centroids`, so that cells hold cell_rows rows on average as long as they can
+    be listed on the driver."""
 
     centroids: int = 512
     cell_rows: int = 16
@@ -125,7 +126,6 @@ def build(embeddings: DataFrame, s: Settings = Settings()) -> Index | None:
         return None
     dim, total = sizes[0]["d"], sizes[0]["count"]
     k = min(s.centroids, max(8, int((total / s.cell_rows) ** 0.5)))
-    block_rows = s.block_rows
     rows = rows.filter(F.size("vec") == dim)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,14 +150,14 @@ def build(embeddings: DataFrame, s: Settings = Settings()) -> Index | None:
     counts = np.zeros(len(one) * len(two), np.int64)
     for cell, n in indexed.groupBy("cell").count().collect():
         counts[cell] = n
-    splits = np.maximum(-(-counts // block_rows), 1)
-    first, at, room = np.zeros(len(counts), np.int64), 0, block_rows
+    splits = np.maximum(-(-counts // s.block_rows), 1)
+    first, at, room = np.zeros(len(counts), np.int64), 0, s.block_rows
     for c, n in enumerate(counts.tolist()):  # cells go to blocks in order; a split cell has blocks of its own
         if n > room or splits[c] > 1:
-            at, room = at + (room < block_rows), block_rows
+            at, room = at + (room < s.block_rows), s.block_rows
         first[c], room = at, room - n
         if splits[c] > 1:
-            at, room = at + int(splits[c]), block_rows
+            at, room = at + int(splits[c]), s.block_rows
     place = spark.createDataFrame([(c, int(first[c]), int(splits[c])) for c in np.flatnonzero(counts).tolist()], "cell int, first int, splits int")
     blocked = indexed.join(F.broadcast(place), "cell").select("vec_id", "vec", "cell", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("splits")).cast("int")).alias("block"))
     return Index((one, two), got["share"], counts, first, splits, blocked)
