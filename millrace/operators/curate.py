@@ -254,6 +254,16 @@ def language_tag(docs: DataFrame, margin: float = 0.1, max_chars: int | None = N
     return scored.withColumn("language", F.when(sure, F.col("_r")[0]["name"])).drop("_c", "_r")
 
 
+def language_filter(docs: DataFrame, targets: Sequence[str], candidates: Sequence[str] = (), keep_all: bool = False, margin: float = 0.1, max_chars: int | None = None, stop_words: Mapping[str, Sequence[str]] = STOP_WORDS) -> DataFrame:
+    """language_tag() among candidates and targets, of which only documents in a target language stay (keep_all: all do).
+    ValueError for a language without words."""
+    names = dict.fromkeys([*candidates, *targets])
+    if odd := [n for n in names if n not in stop_words]:
+        raise ValueError(f"no words for {', '.join(odd)}; there are {', '.join(sorted(stop_words))}")
+    tagged = language_tag(docs, margin, max_chars, {n: stop_words[n] for n in names})
+    return tagged if keep_all else tagged.filter(F.col("language").isin(*targets))
+
+
 def _hits(listed: Sequence[str]) -> Column:
     return F.size(F.filter("_w", lambda x: x.isin(*listed)))
 

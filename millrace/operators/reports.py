@@ -72,3 +72,22 @@ def pair_block(values: DataFrame, by: Sequence[str] = (), level: float = 0.95, a
     p = significance.two_sided_p(d, keys, "value").withColumn("id", F.concat_ws(":", "a", "b")).withColumn("fam", F.concat_ws(":", F.lit(""), *by))
     out = middle.join(significance.percentile_interval(d, keys, level=level), keys).join(stats.holm(p, "fam").drop("fam", "id"), keys)
     return out.withColumn("significant", F.col("p_holm") < alpha)
+
+
+def vocabulary_seed(seed: int, vocab: int, track: int = 0) -> int:
+    """The seed of a vocabulary's resamples (track 0), of its second track (1), of its pairs (2)."""
+    return seed * 1_000_003 + vocab * 2 + (0, 1, 500_000)[track]
+
+
+def compare_by_vocabulary(units: DataFrame, numerator: str, denominator: str, resamples: int = 2000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """units (vocab, run, unit, numerator, denominator) -> (vocab, run, value, std, low, high of each run; pair_block() by vocab).
+
+    Each vocabulary has resamples of its own, which its runs share. One plan for each vocabulary, of which there are few."""
+    every = None
+    for vocab in sorted(r[0] for r in units.select("vocab").distinct().collect()):
+        own = significance.bootstrap_ratios(units.filter(F.col("vocab") == vocab), numerator, denominator, resamples, vocabulary_seed(seed, vocab)).withColumn("vocab", F.lit(vocab).cast("long"))
+        every = own if every is None else every.unionByName(own)
+    points = point_estimate(units, ["vocab", "run"], lambda s: s[numerator] / s[denominator], [numerator, denominator])
+    spread = every.groupBy("vocab", "run").agg(F.round(F.stddev_samp("value"), 6).alias("std"))
+    runs = points.join(spread, ["vocab", "run"]).join(significance.percentile_interval(every, ["vocab", "run"]), ["vocab", "run"])
+    return runs, pair_block(every, ["vocab"])

@@ -170,7 +170,7 @@ def language_tag(spark, d):
 
 @query(_LANGUAGE + " SELECT doc_id, language FROM t WHERE language IN ('en', 'de')")
 def language_filter(spark, d):
-    return curate.language_tag(read(spark, d, "documents")).filter(F.col("language").isin("en", "de")).select("doc_id", "language")
+    return curate.language_filter(read(spark, d, "documents"), ["en", "de"], _LANGS).select("doc_id", "language")
 
 
 @query(_LANGUAGE + " SELECT lang, language, count(*) AS n FROM t GROUP BY ALL")
