@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace import registry
 from millrace.functions import text as t
-from millrace.operators import convert, curate, segment, significance, stats, tasks, tokenizers
+from millrace.operators import convert, curate, reports, segment, significance, stats, tasks, tokenizers
 from millrace.plans import stages
 from millrace.sources import records, storage
 
@@ -146,3 +146,19 @@ def test_shards_by_bytes(spark, tmp_path):
     got = storage.write_byte_shards(rows, f"file://{tmp_path}/s", 1 << 16).collect()
     assert len(got) > 1 and sum(r.rows for r in got) == 3000 and all(r.bytes >= 1 << 16 for r in sorted(got, key=lambda r: r.path)[:-1])
     assert spark.read.json(f"{tmp_path}/s").count() == 3000
+
+
+def test_runs_are_compared_by_vocabulary(spark):
+    units = spark.createDataFrame([(v, run, u, float(u % 5 + add), 1.0) for v in (16, 32) for run, add in (("a", 0), ("b", 0), ("c", 2)) for u in range(200)], "vocab long, run string, unit long, n double, d double")
+    runs, pairs = reports.compare_by_vocabulary(units, "n", "d", 100, 3)
+    got = {(r.vocab, r.run): (r.value, r.low <= r.value <= r.high, r.std > 0) for r in runs.collect()}
+    assert got == {(v, run): (2.0 + 2 * (run == "c"), True, True) for v in (16, 32) for run in "abc"}
+    assert {(r.vocab, r.a, r.b): r.significant for r in pairs.collect()} == {(v, a, b): b == "c" for v in (16, 32) for a, b in (("a", "b"), ("a", "c"), ("b", "c"))}
+
+
+def test_languages(spark):
+    docs = spark.createDataFrame([(1, "the cat is on the mat and it was that"), (2, "der Hund ist nicht mit dem Kind auf das"), (3, None)], "doc_id long, text string")
+    assert [r.doc_id for r in curate.language_filter(docs, ["de"], ["en"]).collect()] == [2]
+    assert sorted((r.doc_id, r.language) for r in curate.language_filter(docs, ["de"], ["en"], keep_all=True).filter("doc_id < 3").collect()) == [(1, "en"), (2, "de")]
+    with pytest.raises(ValueError, match="there are"):
+        curate.language_filter(docs, ["xx"])
