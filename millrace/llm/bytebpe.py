@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -191,7 +191,7 @@ class SliceCache:
     generation is kept, so memory is bounded, and results are the same whatever is kept.
     """
 
-    def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]], most: int = 400_000, states: Callable = states_before):
+    def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]], most: int = 200_000, states: Callable = states_before):
         self.encode_new, self.most, self.states = encode_new, most, states
         self.old: dict[bytes, int] = {}
         self.old_ids = self.old_begin = self.old_size = None
@@ -234,7 +234,7 @@ class SliceCache:
         # 0xFF is in no UTF-8 text: put before every pre-token but the first, it lets bytes.split do the slicing.
         slices = np.insert(data, heads[cuts[1:]], 0xFF).tobytes().split(b"\xff")
         if self.known > self.most:
-            self.old, self.old_ids, self.old_begin, self.old_size = dict(self.numbers), self.ids[: self.used], self.begin, self.size
+            self.old, self.old_ids, self.old_begin, self.old_size = self.numbers, self.ids, self.begin, self.size
             self._begin_generation()
         number = np.fromiter(map(self.numbers.__getitem__, slices), np.int32, len(slices))
         if self.numbers.new:
@@ -271,30 +271,42 @@ def ship(spark: SparkSession, path: str) -> None:
     spark.sparkContext.addFile(path)
 
 
-def encode_documents(docs: DataFrame, ranks_file: str, keep: list[str] | None = None) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, ids binary (little-endian uint32), n_tokens long, slice_ends array<int>, decoded binary.
+#: What encode_documents() can return, and the types.
+OUTPUTS = {"ids": "binary", "n_tokens": "long", "slice_ends": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
 
-    `slice_ends` holds where each pre-token ends, in code points; `decoded` is made from the ids alone. Null or empty
-    text: no ids and nothing decoded. Null ids, repeated rows and further columns are let through row by row, as they are
-    (`keep` names those to return). No shuffle; each task holds one block of text and a bounded cache.
+
+def encode_documents(docs: DataFrame, ranks_file: str, keep: Sequence[str] = ("doc_id",), outputs: Sequence[str] = ("ids", "n_tokens", "slice_ends", "decoded")) -> DataFrame:
+    """docs (doc_id, text) -> the columns `keep` and, of OUTPUTS, those wanted: ids (little-endian uint32), n_tokens, where each
+    pre-token ends (slice_ends, in code points), decoded, which is made from the ids alone, and digests of the ids (decimal,
+    joined by commas) and of what was decoded, for which neither has to leave the task.
+
+    Null or empty text: no ids and nothing decoded. Null ids, repeated rows and further columns are let through row by row, as
+    they are. No shuffle; each task holds one block of text and a bounded cache.
     """
     ship(docs.sparkSession, ranks_file)
-    keep = ["doc_id"] if keep is None else keep
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), *(f"{k} {OUTPUTS[k]}" for k in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = of_process(f"ranks {ranks_file}", lambda: read_ranks(local_file(ranks_file)))
-        cache, vocabulary = of_process(f"cache {ranks_file}", lambda: rank_cache(ranks)), vocabulary_of(ranks)
+        cache = of_process(f"cache {ranks_file}", lambda: rank_cache(ranks))
+        vocabulary, decimal = of_process(f"vocabulary {ranks_file}", lambda: (vocabulary_of(ranks), [b"%d" % i for i in range(max(ranks.values(), default=-1) + 1)]))
+        sha = lambda parts: pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())
         for batch in batches:
             for i, j, data, offsets in text_blocks(batch.column("text")):
                 ids, at, ends, place = cache.encode(data, offsets)
                 parts = [ids[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(i, j - i) for k in keep), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(place.astype(np.int32)), pa.array(ends.astype(np.int32))), pa.array([decode(x, vocabulary) for x in parts], pa.binary())],
-                    [*keep, "ids", "n_tokens", "slice_ends", "decoded"],
-                )
+                decoded = [decode(x, vocabulary) for x in parts] if {"decoded", "decoded_sha256"} & {*outputs} else []
+                make = {
+                    "ids": lambda: pa.array([x.tobytes() for x in parts], pa.binary()),
+                    "n_tokens": lambda: pa.array(np.diff(at)),
+                    "slice_ends": lambda: pa.ListArray.from_arrays(pa.array(place.astype(np.int32)), pa.array(ends.astype(np.int32))),
+                    "decoded": lambda: pa.array(decoded, pa.binary()),
+                    "ids_sha256": lambda: sha(b",".join(map(decimal.__getitem__, x.tolist())) for x in parts),
+                    "decoded_sha256": lambda: sha(decoded),
+                }
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in keep), *(make[k]() for k in outputs)], [*keep, *outputs])
 
-    return bounded_batches(docs.select(*dict.fromkeys([*keep, "text"]))).mapInArrow(run, f"{fields}, ids binary, n_tokens long, slice_ends array<int>, decoded binary")
+    return bounded_batches(docs.select(*dict.fromkeys([*keep, "text"]))).mapInArrow(run, fields)
 
 
 def vocabulary_of(ranks: dict[bytes, int]) -> list[bytes]:
@@ -309,20 +321,6 @@ def decode(ids: bytes | np.ndarray, vocabulary: list[bytes]) -> bytes:
     return b"".join(map(vocabulary.__getitem__, (np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else ids).tolist()))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 of encode_documents()' result."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal: list[bytes] = []
-        for batch in batches:
-            ids, whole = [], []
-            for x, d in zip(batch.column("ids"), batch.column("decoded")):
-                got = np.frombuffer(x.as_py(), "<u4")
-                if len(got) and (top := int(got.max())) >= len(decimal):
-                    decimal.extend(b"%d" % i for i in range(len(decimal), top + 1))
-                ids.append(hashlib.sha256(b",".join([decimal[i] for i in got.tolist()])).hexdigest())
-                whole.append(hashlib.sha256(d.as_py()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(ids), pa.array(whole)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return bounded_batches(encoded.select("doc_id", "n_tokens", "ids", "decoded")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(docs: DataFrame, ranks_file: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text of docs."""
+    return encode_documents(docs, ranks_file, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))

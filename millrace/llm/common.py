@@ -240,7 +240,9 @@ def folded(points: np.ndarray) -> np.ndarray:
     if _FOLD is None:
         low = [chr(i).lower() if not 0xD800 <= i < 0xE000 else chr(i) for i in range(0x10000)]
         _FOLD = np.array([ord(x) if len(x) == 1 else i for i, x in enumerate(low)], np.uint32)
-    return np.where(points < 0x10000, _FOLD[np.minimum(points, 0xFFFF)], points)
+    out, high = _FOLD.take(points, mode="clip"), points > 0xFFFF
+    out[high] = points[high]
+    return out
 
 
 _INV = pow(_STEP, -1, 1 << 64)
@@ -253,27 +255,32 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """
     from millrace.llm.bytebpe import NUMBER, classes
 
-    points, heads = code_points(data), np.flatnonzero((data & 0xC0) != 0x80)
-    inside = classes().take(points) <= NUMBER
-    points = folded(points)
-    value = _BYTE.take(points & np.uint32(0xFF))
-    wide = np.flatnonzero(points > 127)
-    value[wide] = mix64(points[wide].astype(np.uint64) + np.uint64(_STEP))
-    firsts = np.searchsorted(heads, offsets)
-    edge = np.zeros(len(points) + 1, bool)
-    edge[firsts[(firsts > 0) & (firsts < len(points))]] = True
-    before = np.concatenate([[False], inside])
-    after = np.concatenate([inside, [False]])
-    begins = np.flatnonzero(after & (~before | edge))
-    ends = np.flatnonzero(before & (~after | edge))
-    n = len(points) + 1
-    rise = _powers(_STEP, n)
-    total = np.zeros(n, np.uint64)
-    value *= rise[:-1]
+    if not len(data) or data.max() < 128:
+        points, heads, firsts = data, None, offsets
+        inside, value = classes()[:128].take(data) <= NUMBER, _BYTE.take(folded(np.arange(128, dtype=np.uint32)).take(data))
+    else:
+        points, heads = code_points(data), np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32)
+        inside, firsts = classes().take(points) <= NUMBER, np.searchsorted(heads, offsets)
+        points = folded(points)
+        value = _BYTE.take(points & np.uint32(0xFF))
+        wide = np.flatnonzero(points > 127)
+        value[wide] = mix64(points[wide].astype(np.uint64) + np.uint64(_STEP))
+    n = len(points)
+    edge = np.zeros(n + 1, bool)
+    edge[firsts[(firsts > 0) & (firsts < n)]] = True
+    before, after = np.concatenate([[False], inside]), np.concatenate([inside, [False]])
+    begins, ends = np.flatnonzero(after & (~before | edge)), np.flatnonzero(before & (~after | edge))
+    del edge, before, after, inside, points
+    value *= _powers(_STEP, n + 1)[:-1]
+    total = np.zeros(n + 1, np.uint64)
     np.cumsum(value, out=total[1:])
-    h = mix64((total[ends] - total[begins]) * _powers(_INV, n)[begins] + (ends - begins).astype(np.uint64))
-    byte = np.append(heads, len(data))
-    return h, byte[begins], byte[ends], np.searchsorted(firsts, begins, "right") - 1
+    del value
+    h = mix64((total[ends] - total[begins]) * _powers(_INV, n + 1)[begins] + (ends - begins).astype(np.uint64))
+    doc = np.searchsorted(firsts, begins, "right") - 1
+    if heads is not None:
+        byte = np.append(heads, np.int32(len(data)))
+        begins, ends = byte[begins].astype(np.int64), byte[ends].astype(np.int64)
+    return h, begins, ends, doc
 
 
 _POWERS: dict[int, np.ndarray] = {}
