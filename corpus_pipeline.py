@@ -39,7 +39,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return bytebpe.digests(bytebpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    return bytebpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 STAGES = [
