@@ -75,11 +75,15 @@ def test_bpe_equals_the_library(docs, empty):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bytebpe.digests(bytebpe.encode_documents(docs, path)).collect()]
+    got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bytebpe.digests(docs, path).collect()]
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = [(i, len(ids := library.encode_ordinary(t or "")), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())) for i, t in ROWS]
     assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert not bytebpe.digests(bytebpe.encode_documents(empty, path)).collect()
+    assert not bytebpe.digests(empty, path).collect()
+    for r in bytebpe.encode_documents(docs.filter("doc_id <> 9"), path, keep=["doc_id", "text", "keep"]).collect():
+        ids, text = np.frombuffer(r.ids, "<u4").tolist(), r.text or ""
+        assert ids == library.encode_ordinary(text) and bytes(r.decoded) == text.encode() and r.n_tokens == len(ids) and r.keep == "c"
+        assert [text[a:b] for a, b in zip([0, *r.slice_ends], r.slice_ends)] == bytebpe.pre_tokens(text)
 
 
 def test_shards_hold_every_document(spark, docs, empty, tmp_path):
@@ -469,7 +473,7 @@ def test_texts_longer_than_a_block(spark):
     cut = {r.doc_id: r.n_removed for r in chunk_dedup.dedup(docs).collect()}
     assert cut[1] == cut[2] == cut[4] == 0 and half - 2048 < cut[3] <= half
     sha = hashlib.sha256(long.encode()).hexdigest()
-    assert {r.doc_id: r.decoded_sha256 for r in bytebpe.digests(bytebpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))).collect()}[2] == sha
+    assert {r.doc_id: r.decoded_sha256 for r in bytebpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).collect()}[2] == sha
 
 
 def test_em_equals_the_plain_one():
