@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as t
-from millrace.sources.storage import settled, small
+from millrace.sources.storage import settled, short_batches, small
 
 #: As functions.text.WORD, for Python (up to the version of Unicode).
 WORD = re.compile(r"\w+")
+#: Characters of text whose n-grams are counted at once; a longer text is counted alone.
+PART_CHARS = 1 << 19
 #: Own short lists; a run brings its own as parameters.
 STOP_WORDS = {
     "en": "the of and to in that is for with it as was on are be this have not by from at or which but were an they their has will".split(),
@@ -93,45 +95,68 @@ def unit_ratios(pieces: Column) -> Column:
     return t.let(pieces, lambda p: t.let(F.array_distinct(p), lambda d: F.struct(F.size(p).cast("long").alias("n_units"), _ratio(F.size(p) - F.size(d), F.size(p)).alias("dup_fraction"), _ratio(_chars(p) - _chars(d), _chars(p)).alias("dup_chars"))))
 
 
+def text_parts(texts: Sequence[str | None], most: int = PART_CHARS) -> Iterator[Sequence[str | None]]:
+    """Successive slices of texts, of `most` characters at most; a longer text ends a slice."""
+    begin = held = 0
+    for i, x in enumerate(texts):
+        size = len(x) if x else 0
+        if held and held + size > most:
+            yield texts[begin:i]
+            begin, held = i, 0
+        held += size
+    if begin < len(texts):
+        yield texts[begin:]
+
+
+def count_ngrams(texts: Sequence[str | None], ns: Sequence[int]) -> dict[str, np.ndarray]:
+    """What ngram_ratios() says of texts, counted at once; NaN for fewer than n words. ns ascends.
+
+    Words are numbered, and an n-gram's number comes from that of its first n - 1 words and its last, so that nothing is built
+    but arrays of numbers. Words are let go text by text."""
+    known: dict[str, int] = {}
+    put = known.setdefault
+    held = [np.fromiter([put(w, len(known)) for w in WORD.findall(x)] if x else [], np.int64) for x in texts]
+    size = np.array([len(x) for x in held], np.int64)
+    doc, word = np.repeat(np.arange(len(held)), size), np.concatenate([np.zeros(0, np.int64), *held])
+    length = np.fromiter(map(len, known), np.int64, len(known))[word]
+    chars = np.bincount(doc, length, len(held))
+    upto = np.concatenate([[0], np.cumsum(length)])
+    code, out = doc * (len(known) + 1) + word, {}
+    for n in range(2, ns[-1] + 1):
+        m = max(len(word) - n + 1, 0)
+        code = pd.factorize(code[:m] * (len(known) + 1) + word[n - 1 :])[0]
+        if n not in ns:
+            continue
+        inside = np.flatnonzero(doc[:m] == doc[n - 1 :][:m])
+        kinds, first, count = np.unique(code[inside], return_index=True, return_counts=True)
+        at = inside[first]
+        weight, own = upto[at + n] - upto[at], doc[at]
+        top, order = np.zeros(len(held)), np.argsort(own, kind="stable")
+        begins = np.flatnonzero(np.diff(own[order], prepend=-1))
+        if len(begins):
+            top[own[order][begins]] = np.maximum.reduceat((count * weight)[order], begins)
+        some = size >= n
+        for kind, value in (("top", top), ("dup", np.bincount(own, (count - 1) * weight, len(held)))):
+            out[f"{kind}_{n}"] = np.divide(value, chars, out=np.full(len(held), np.nan), where=some)
+    return out
+
+
 def ngram_ratios(words_of: Column, ns: Sequence[int]) -> Column:
     """struct of top_<n> and dup_<n> for each n: the share of the words' characters in the most frequent n-gram, and in n-grams
     that stand before already; null for fewer than n words. words_of: a text in lower case.
 
-    Each Arrow batch is counted at once: words are numbered, and an n-gram's number comes from that of its first n - 1 words
-    and its last, so that nothing is built but arrays of numbers, and nothing is shuffled."""
+    An Arrow batch is counted in parts of half a million characters, and nothing is shuffled. To Spark the values count as not
+    deterministic, though they are: else a filter on them is pushed below them, and each text goes to Python twice."""
     ns = sorted(ns)
     fields = [f"{kind}_{n}" for n in ns for kind in ("top", "dup")]
 
     @F.pandas_udf(", ".join(f"{f} double" for f in fields))
     def ratios(texts: pd.Series) -> pd.DataFrame:
-        held = [WORD.findall(x) if x else [] for x in texts]
-        size = np.array([len(x) for x in held], np.int64)
-        doc = np.repeat(np.arange(len(held)), size)
-        flat = [w for x in held for w in x]
-        length = np.fromiter(map(len, flat), np.int64, len(flat))
-        word, known = pd.factorize(np.array(flat, object)) if flat else (np.zeros(0, np.int64), [])
-        chars = np.bincount(doc, length, len(held))
-        upto = np.concatenate([[0], np.cumsum(length)])
-        code, out = doc * (len(known) + 1) + word, {}
-        for n in range(2, ns[-1] + 1):
-            m = max(len(word) - n + 1, 0)
-            code = pd.factorize(code[:m] * (len(known) + 1) + word[n - 1 :])[0]
-            if n not in ns:
-                continue
-            inside = np.flatnonzero(doc[:m] == doc[n - 1 :][:m])
-            kinds, first, count = np.unique(code[inside], return_index=True, return_counts=True)
-            at = inside[first]
-            weight, own = upto[at + n] - upto[at], doc[at]
-            top, order = np.zeros(len(held)), np.argsort(own, kind="stable")
-            begins = np.flatnonzero(np.diff(own[order], prepend=-1))
-            if len(begins):
-                top[own[order][begins]] = np.maximum.reduceat((count * weight)[order], begins)
-            some = size >= n
-            for kind, value in (("top", top), ("dup", np.bincount(own, (count - 1) * weight, len(held)))):
-                out[f"{kind}_{n}"] = np.divide(value, chars, out=np.full(len(held), np.nan), where=some)
+        parts = [count_ngrams(x, ns) for x in text_parts(texts.to_numpy())]
+        out = {f: np.concatenate([np.zeros(0), *(x[f] for x in parts)]) for f in fields}
         return pd.DataFrame(out, columns=fields).astype(object).where(lambda x: x.notna(), None)
 
-    return ratios(words_of)
+    return ratios.asNondeterministic()(words_of)
 
 
 def line_repetition(docs: DataFrame, unit: str = "line") -> DataFrame:
@@ -142,7 +167,7 @@ def line_repetition(docs: DataFrame, unit: str = "line") -> DataFrame:
 def ngram_repetition(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, top_chars and dup_chars (ngram_ratios()) of documents of n words or more. Row by row, so repeated ids are
     documents of their own."""
-    own = docs.select("doc_id", ngram_ratios(F.lower("text"), [n]).alias("_r")).filter(F.col(f"_r.top_{n}").isNotNull())
+    own = short_batches(docs).select("doc_id", ngram_ratios(F.lower("text"), [n]).alias("_r")).filter(F.col(f"_r.top_{n}").isNotNull())
     return own.select("doc_id", *(F.round(f"_r.{k}_{n}", 6).alias(f"{k}_chars") for k in ("top", "dup")))
 
 
@@ -161,7 +186,7 @@ class Repetition:
 
 def repetition_reasons(docs: DataFrame, r: Repetition = Repetition()) -> DataFrame:
     """docs plus repetition: the names of the thresholds that are exceeded, comma-joined, '' for none. Row by row."""
-    rows = docs.withColumn("_lp", F.struct(unit_ratios(units(F.col("text"), "line")).alias("l"), unit_ratios(units(F.col("text"), "paragraph")).alias("p")))
+    rows = short_batches(docs).withColumn("_lp", F.struct(unit_ratios(units(F.col("text"), "line")).alias("l"), unit_ratios(units(F.col("text"), "paragraph")).alias("p")))
     rows = rows.withColumn("_w", ngram_ratios(F.lower("text"), [n for n, _ in (*r.top, *r.dup)]))
     over = lambda name, ratio, most: F.when(ratio > most, F.lit(name))
     lp = F.col("_lp")

@@ -49,6 +49,17 @@ def small(df: DataFrame, width: int | Column = 16, most_bytes: int = 1 << 25) ->
     return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most_bytes else df
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """df; batches of its texts to Python hold 500 rows and end with the one that brings them to 8 MB, unless the session sets
+    numbers of its own. With Spark's defaults, 10,000 rows of any size, a batch of texts holds tens of MB, several times over.
+    """
+    conf = df.sparkSession.conf
+    for name, default, ours in (("maxRecordsPerBatch", "10000", 500), ("maxBytesPerBatch", "67108864b", 1 << 23)):
+        if conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            conf.set(f"spark.sql.execution.arrow.{name}", ours)
+    return df
+
+
 def write_shards(docs: DataFrame, folder: str, rows: int = 0, by: str | None = None) -> None:
     """Gzip JSONL shards, a folder for each value of `by`; a shard is closed after `rows` rows (0: at the end of its task).
 

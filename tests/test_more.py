@@ -2,6 +2,9 @@
 
 import hashlib
 import json
+import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +55,42 @@ def test_repetition(spark):
     assert [(r.doc_id, r.top_chars) for r in curate.ngram_repetition(docs, 80).collect()] == [(2, 1.0)]
 
 
+@pytest.mark.parametrize("n", [7])
+def test_ngrams_go_to_python_once_in_parts(spark, n):
+    """Texts of several parts, one longer than a part, none, nulls and repeated ids; each text is counted once, a few at a time."""
+    draw = random.Random(n)
+    text = lambda words: " ".join(draw.choice(("Ä", "bb", "ccc", "dd_d", "e1")) for _ in range(words))
+    rows = [(i // 2, text(draw.randrange(3 * n))) for i in range(1_100)] + [(-1, None), (-2, ""), (-3, text(n - 1)), (-4, text(n)), (-5, text(300_000)), (-6, text(200))]
+    own = spark.newSession()
+    table = own.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = curate.ngram_repetition(table, n)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "500"
+    want = []
+    for i, x in rows:
+        w = re.findall(r"\w+", (x or "").lower())
+        grams = [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+        if counts := Counter(grams):
+            size = {g: sum(map(len, g)) for g in counts}
+            chars = sum(map(len, w))
+            want.append((i, max(c * size[g] for g, c in counts.items()) / chars, sum((c - 1) * size[g] for g, c in counts.items()) / chars))
+    rows = sorted(map(tuple, got.collect()))
+    assert len(rows) == len(want) and np.allclose(rows, sorted(want), rtol=0, atol=1e-6)
+
+
+def test_repetition_goes_to_python_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.newSession().read.parquet(f"{tmp_path}/docs")
+    assert curate.repetition_reasons(docs).filter("repetition <> ''")._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_parts_of_texts():
+    texts = ["abc", None, "", "de", "x" * 9, "f", "g" * 4, None]
+    assert list(curate.text_parts(texts, 5)) == [["abc", None, "", "de"], ["x" * 9], ["f", "g" * 4, None]]
+    assert not list(curate.text_parts([])) and list(curate.text_parts([None])) == [[None]]
+
+
 def test_running_sums(spark):
     for n in (0, 1, 63, 64, 65, 200):
         got = spark.range(1).select(t.running(F.array(*map(F.lit, range(n))).cast("array<int>"))).first()[0]
