@@ -55,7 +55,7 @@ def test_repetition(spark):
     assert [(r.doc_id, r.top_chars) for r in curate.ngram_repetition(docs, 80).collect()] == [(2, 1.0)]
 
 
-@pytest.mark.parametrize("n", [7, 4, 5, 9, 8, 10])
+@pytest.mark.parametrize("n", [7, 4, 5, 9, 8, 10, 3])
 def test_ngrams_go_to_python_once_in_parts(spark, n):
     """Texts of several parts, one longer than a part, none, nulls and repeated ids; each text is counted once, a few at a time."""
     draw = random.Random(n)
