@@ -30,6 +30,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_once_held(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """As read(), without Parquet's vectored reads: they hold a row group's whole column a second time, beside the heap, until
+    the task's thread ends. For texts that is hundreds of MB a task where row groups are large."""
+    return spark.read.option("parquet.hadoop.vectored.io.enabled", "false").parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _list(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
@@ -116,7 +122,7 @@ SELECT doc_id, round(max(c * size) / chars, 6) AS top_chars, round(sum((c - 1) *
         f"ngram_repetition_{_n}",
     )
     def _ngrams(spark, d, n=_n):
-        return curate.ngram_repetition(read(spark, d, "documents"), n)
+        return curate.ngram_repetition(read_once_held(spark, d, "documents"), n)
 
 
 @query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY source, doc_id) = 1")
