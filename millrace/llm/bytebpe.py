@@ -14,6 +14,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Callable, Iterator, Sequence
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -183,6 +184,12 @@ class _Numbers(dict):
         return number
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all ranges that begin at `begin` and hold `size`, in a row."""
+    stop = np.cumsum(size)
+    return np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
+
+
 class SliceCache:
     """Pre-token (UTF-8) -> its ids. `encode_new` turns a list of unseen pre-tokens into their ids as little-endian uint32.
 
@@ -201,24 +208,29 @@ class SliceCache:
         self.numbers, self.used, self.known = _Numbers(), 0, 0
         self.ids, self.begin, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
-    def _ids_of(self, new: list[bytes]) -> list[bytes]:
-        where = [*map(self.old.get, new)]
-        unseen = [x for x, i in zip(new, where) if i is None]
-        fresh = iter(self.encode_new(unseen) if unseen else [])
-        return [next(fresh) if i is None else self.old_ids[self.old_begin[i] : self.old_begin[i] + self.old_size[i]].tobytes() for i in where]
-
     def _learn(self) -> None:
         """Give the ids of the pre-tokens that were numbered last their place."""
-        got = self._ids_of(self.numbers.new)
-        flat, size = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) >> 2
-        n, k = self.known + len(got), self.used + len(flat)
+        new, find = self.numbers.new, self.old.get
+        where = np.fromiter([find(x, -1) for x in new], np.int64, len(new))
+        fresh = where < 0
+        size, unseen = np.zeros(len(new), np.int64), [*compress(new, fresh.tolist())]
+        got = self.encode_new(unseen) if unseen else []
+        size[fresh] = np.fromiter(map(len, got), np.int64, len(got)) >> 2
+        if len(got) < len(new):
+            kept = where[~fresh]
+            size[~fresh] = self.old_size.take(kept)
+        stop = np.cumsum(size)
+        n, k = self.known + len(new), self.used + int(stop[-1])
         if n > len(self.size):
             self.begin, self.size = np.resize(self.begin, 2 * n), np.resize(self.size, 2 * n)
         if k > len(self.ids):
             self.ids = np.resize(self.ids, 2 * k)
-        self.ids[self.used : k] = flat
+        flat, own = self.ids[self.used : k], np.repeat(fresh, size)
+        flat[own] = np.frombuffer(b"".join(got), "<u4")
+        if len(got) < len(new):
+            flat[~own] = self.old_ids.take(_ranges(self.old_begin.take(kept), size[~fresh]))
         self.size[self.known : n] = size
-        self.begin[self.known : n] = self.used + np.cumsum(size) - size
+        self.begin[self.known : n] = self.used + stop - size
         self.known, self.used = n, k
         self.numbers.new = []
 
@@ -241,7 +253,7 @@ class SliceCache:
             self._learn()
         size = self.size.take(number).astype(np.int64)
         stop = np.cumsum(size)
-        out = self.ids.take(np.repeat(self.begin.take(number) - (stop - size), size) + np.arange(int(stop[-1])))
+        out = self.ids.take(_ranges(self.begin.take(number), size))
         ends = np.append(cuts[1:], len(points)) - np.repeat(firsts[:-1], np.diff(to))
         return out, np.concatenate([[0], stop])[to], ends, to
 

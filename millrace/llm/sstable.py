@@ -36,6 +36,8 @@ from millrace.llm.common import bounded_batches, mix64, scratch, tasks_for, text
 MAGIC, RESTART, BLOCK_TARGET = b"MRSST001", 16, 1 << 16
 FOOTER = struct.Struct("<QQQQQQ8s")
 BITS_A_KEY, HASHES = 10, 7
+#: Distinct pre-tokens after which a worker's cache begins a new generation.
+KEPT = 500_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -238,7 +240,7 @@ class Encoder:
         before, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and spec.get("normalizer") is None
         self.added = [t["content"].encode() for t in added if not (special_as_text and t.get("special"))]
-        self.cache = SliceCache(lambda new: encode_apart(self.tokenizer, new), states=states_of_neighbours) if plain else None
+        self.cache = SliceCache(lambda new: encode_apart(self.tokenizer, new), KEPT, states_of_neighbours) if plain else None
 
     def whole(self, texts: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([x.decode() for x in texts], add_special_tokens=False)]

@@ -568,3 +568,27 @@ def test_ids_are_the_unaltered_librarys(as_text):
 def test_states_of_neighbours_equal_the_scan(kinds):
     kinds = np.array(kinds, np.uint8)
     assert bytebpe.states_of_neighbours(kinds).tolist() == bytebpe.states_before(kinds).tolist()
+
+
+def test_a_recurring_pre_token_goes_to_the_library_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(sstable, "encode_apart", lambda _, new: seen.extend(new) or [b"\1\0\0\0" * (len(x) % 3) for x in new])
+    encoder = sstable.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = lambda a: "".join(f" {chr(97 + i % 26)}{chr(0x4E00 + i // 26 % 6000)}{chr(0xAC00 + i // 156_000)}" for i in range(a, a + 50_000)).encode()
+    for a in [*range(0, 450_000, 50_000)] * 2:
+        data = np.frombuffer(text(a), np.uint8)
+        assert len(encoder.encode(data, np.array([0, len(data)]))[0]) == sum(len(x) % 3 for x in data.tobytes().replace(b" ", b"\xff ").split(b"\xff"))
+    assert len(seen) == len(set(seen)) == 450_000
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 12), max_size=12), min_size=1, max_size=12))
+def test_ids_dont_depend_on_what_the_cache_keeps(texts):
+    ids = lambda x: np.frombuffer(x, np.uint8).astype("<u4")[1:].tobytes()
+    small, large = (bytebpe.SliceCache(lambda new: [ids(x) for x in new], most) for most in (3, 1_000))
+    for words in texts:
+        data = np.frombuffer("".join(" " + "abcdefghijklm"[w] * (w % 4) for w in words).encode(), np.uint8)
+        one, two = (c.encode(data, np.array([0, len(data)])) for c in (small, large))
+        assert [x.tolist() for x in one] == [x.tolist() for x in two]
+        want = b"".join(ids(x.encode()) for x in bytebpe.pre_tokens(data.tobytes().decode()))
+        assert one[0].tobytes() == want
