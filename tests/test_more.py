@@ -80,7 +80,7 @@ def test_ngrams_go_to_python_once_in_parts(spark, n):
     assert len(rows) == len(want) and np.allclose(rows, sorted(want), rtol=0, atol=1e-6)
 
 
-@pytest.mark.parametrize("n", [3, 5, 4, 9, 8])
+@pytest.mark.parametrize("n", [3, 5, 4, 9, 8, 10])
 def test_ngrams_hold_a_row_group_once(spark, tmp_path, n):
     """A row group of 96 MB: its bytes don't stay outside the heap after they were read (vectored reads kept them there)."""
     draw = random.Random(n)
